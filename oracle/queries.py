@@ -109,9 +109,9 @@ _RAW_SQL = {
         FROM (SELECT CAST(plot AS INT) AS plot, tag, sci, genus,
           regexp_replace(coalesce(words[2], 'sp.'), 'x', 'sp.') AS species FROM named WHERE census = 3)""",
     "agb_chave_016": f"""SELECT l_orderkey, l_partkey, l_linenumber, d, wd,
-        round(0.0673e0 * pow(wd * (d * d) * h, 0.976e0), 2) AS agb_kg FROM {_STEMS}""",
+        floor(0.0673e0 * pow(wd * (d * d) * h, 0.976e0) * 100 + 0.5e0) / 100 AS agb_kg FROM {_STEMS}""",
     "agb_chave_005": f"""SELECT l_orderkey, l_partkey, l_linenumber, d, wd,
-        round(0.0559e0 * (wd * (d * d) * h), 2) AS agb_kg FROM {_STEMS}""",
+        floor(0.0559e0 * (wd * (d * d) * h) * 100 + 0.5e0) / 100 AS agb_kg FROM {_STEMS}""",
     "agb_reported": """SELECT CAST(plot AS INT) AS plot, tag AS tag_number, subplot, reported AS reported_kg,
         CASE WHEN diameter <= 1000 AND raw_height <= 100 THEN TRY_CAST(reported AS DOUBLE) END AS agb2_tree_kg
         FROM trees WHERE census = 3""",
@@ -122,7 +122,7 @@ _RAW_SQL = {
         FROM (SELECT *, {area('subplots')} AS plot_area_ha FROM (
           SELECT l_partkey, count(DISTINCT l_linenumber) AS subplots,
             round(CAST(sum(CAST(round(kg * 100) AS BIGINT)) AS DOUBLE) / 1000) / 100 AS agb_plot
-          FROM (SELECT *, round(0.0673e0 * pow(0.48e0 * (d * d) * h, 0.976e0), 2) AS kg FROM {_STEMS})
+          FROM (SELECT *, floor(0.0673e0 * pow(0.48e0 * (d * d) * h, 0.976e0) * 100 + 0.5e0) / 100 AS kg FROM {_STEMS})
           GROUP BY l_partkey))""",
     "collection_code": f"""SELECT c_custkey, code AS state_code, {collection('code')} AS collection_code FROM (
         SELECT c_custkey, CASE WHEN c_nationkey <> 7 THEN c_nationkey * 2 - 1 END AS code FROM customer)""",

@@ -177,14 +177,14 @@ T["dense"] = """SELECT n.*,
     LEFT JOIN site_family c ON c.source_code = n.source_code AND c.family IS NOT DISTINCT FROM n.family"""
 
 T["agb"] = f"""SELECT *,
-      CASE WHEN census < 3 THEN round(0.0673e0 * pow(wood_density * (diameter * diameter) * height, 0.976e0), 2)
+      CASE WHEN census < 3 THEN floor(0.0673e0 * pow(wood_density * (diameter * diameter) * height, 0.976e0) * 100 + 0.5e0) / 100
            WHEN diameter > 1000 OR raw_height > 100 THEN NULL
            WHEN diameter IS NULL OR raw_height IS NULL THEN NULL
-           ELSE round(0.0673e0 * pow(wood_density * (diameter * diameter) * raw_height, 0.976e0), 2) END AS agb_tree_kg,
+           ELSE floor(0.0673e0 * pow(wood_density * (diameter * diameter) * raw_height, 0.976e0) * 100 + 0.5e0) / 100 END AS agb_tree_kg,
       CASE WHEN census = 3 AND diameter <= 1000 AND raw_height <= 100
            THEN TRY_CAST(reported AS DOUBLE) END AS agb2_tree_kg,
       CASE WHEN census = 3 AND diameter <= 1000 AND raw_height <= 500
-           THEN round(0.0559e0 * (wood_density * (diameter * diameter) * raw_height), 2) END AS agb3_tree_kg,
+           THEN floor(0.0559e0 * (wood_density * (diameter * diameter) * raw_height) * 100 + 0.5e0) / 100 END AS agb3_tree_kg,
       {collection('code')} AS collection_code
     FROM dense"""
 

@@ -402,12 +402,12 @@ def _stems(w: Workspace) -> DataFrame:
 
 @query("agb_chave_016")
 def _(w: Workspace) -> DataFrame:
-    return _stems(w).withColumn("agb_kg", F.round(A.agb_chave_016("d", "wd", "h"), 2)).drop("h")
+    return _stems(w).withColumn("agb_kg", semantics.round_half_up(A.agb_chave_016("d", "wd", "h"), 2)).drop("h")
 
 
 @query("agb_chave_005")
 def _(w: Workspace) -> DataFrame:
-    return _stems(w).withColumn("agb_kg", F.round(A.agb_chave_005("d", "wd", "h"), 2)).drop("h")
+    return _stems(w).withColumn("agb_kg", semantics.round_half_up(A.agb_chave_005("d", "wd", "h"), 2)).drop("h")
 
 
 @query("agb_reported")
@@ -435,7 +435,7 @@ def _(w: Workspace) -> DataFrame:
 @query("agb_per_hectare")
 def _(w: Workspace) -> DataFrame:
     stems = _stems(w).withColumn(
-        "kg", F.round(A.agb_chave_016("d", F.lit(fixed.DEFAULT_WOOD_DENSITY), "h"), 2)
+        "kg", semantics.round_half_up(A.agb_chave_016("d", F.lit(fixed.DEFAULT_WOOD_DENSITY), "h"), 2)
     )
     return (
         stems.groupBy("l_partkey")

@@ -45,8 +45,13 @@ def sub_first(c: ColumnOrName, literal: str, replacement: str) -> Column:
 
 
 def fixed_point(c: ColumnOrName, digits: int) -> Column:
-    """The value as a whole number of 10**-digits."""
-    return F.round(as_col(c) * float(10**digits)).cast("bigint")
+    """A measurement (0 or more) as a whole number of 10**-digits, half up."""
+    return F.floor(as_col(c) * float(10**digits) + 0.5)
+
+
+def round_half_up(c: ColumnOrName, digits: int) -> Column:
+    """A measurement (0 or more) rounded half up, without leaving primitive doubles."""
+    return fixed_point(c, digits) / float(10**digits)
 
 
 def sum_fixed(c: ColumnOrName, digits: int = 2) -> Column:

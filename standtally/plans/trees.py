@@ -13,7 +13,7 @@ from standtally.functions.allometry import (
     collection_code,
     measured_within,
 )
-from standtally.functions.semantics import as_col, ifelse3, token_to_number
+from standtally.functions.semantics import as_col, ifelse3, round_half_up, token_to_number
 from standtally.functions.text import parse_species, public_key
 from standtally.operators.wood_density import assign_wood_density
 from standtally.plans.refs import Refs, with_plot_key
@@ -60,10 +60,10 @@ def keyed_trees(raw: DataFrame, spec: CensusSpec, refs: Refs, literal: bool = Fa
 def biomass_columns(spec: CensusSpec) -> dict[str, Column]:
     """Estimates in kg with their labels."""
     h = "raw_height" if spec.raw_height else "height"
-    eq1 = F.round(agb_chave_016("diameter", "wood_density", h), 2)
+    eq1 = round_half_up(agb_chave_016("diameter", "wood_density", h), 2)
     if not spec.raw_height:
         return {"agb_tree_kg": eq1, "agb_eq1": F.lit(fixed.LABEL_EQ1)}
-    eq3 = F.round(agb_chave_005("diameter", "wood_density", h), 2)
+    eq3 = round_half_up(agb_chave_005("diameter", "wood_density", h), 2)
     return {
         "agb_tree_kg": measured_within("diameter", h, eq1),
         "agb2_tree_kg": agb_reported("reported_kg", "diameter", h),
