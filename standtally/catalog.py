@@ -64,7 +64,7 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 @query("read_inventory_csv")
 def _(w: Workspace) -> DataFrame:
     schema = schemas.schema_of("trees_c1")
-    source = w.inputs.trees(1).toDF(*schema.fieldNames())
+    source = w.raw_trees(1).toDF(*schema.fieldNames())
     path = new_path(w.spark, "trees-csv")
     tables.write_table(source, path, format="csv")
     return tables.canonical_columns(tables.read_inventory_csv(w.spark, path, schema))
@@ -83,7 +83,7 @@ def schema_names(table: str, skip: list[str]) -> list[str]:
 @query("write_table")
 def _(w: Workspace) -> DataFrame:
     parts = [
-        trees.clean_sentinels(w.inputs.trees(k), CENSUSES[k]).select(
+        trees.clean_sentinels(w.raw_trees(k), CENSUSES[k]).select(
             F.lit(k).alias("census"), "plot", "subplot", "tag_number", "diameter", "height"
         )
         for k in CENSUSES
@@ -108,7 +108,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("ifelse3")
 def _(w: Workspace) -> DataFrame:
-    tall = trees.canonical_trees(w.inputs.trees(3), CENSUSES[3]).withColumn(
+    tall = trees.canonical_trees(w.raw_trees(3), CENSUSES[3]).withColumn(
         "verdict",
         semantics.ifelse3(
             (F.col("diameter") > fixed.MAX_DIAMETER) | (F.col("raw_height") > fixed.MAX_HEIGHT_M),
@@ -133,7 +133,7 @@ def _(w: Workspace) -> DataFrame:
 
 
 def _sentinels(k: int) -> Build:
-    return lambda w: trees.clean_sentinels(w.inputs.trees(k), CENSUSES[k]).select(
+    return lambda w: trees.clean_sentinels(w.raw_trees(k), CENSUSES[k]).select(
         "plot", "subplot", "tag_number", "raw_height", "height", "stand_age"
     )
 
@@ -221,7 +221,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("count_distinct_na")
 def _(w: Workspace) -> DataFrame:
-    raw = trees.canonical_trees(w.inputs.trees(1), CENSUSES[1])
+    raw = trees.canonical_trees(w.raw_trees(1), CENSUSES[1])
     return raw.groupBy("plot").agg(semantics.count_distinct_na("subplot").alias("subplots"))
 
 
@@ -239,7 +239,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("plot_site_map")
 def _(w: Workspace) -> DataFrame:
-    return refs.plot_site_map(w.inputs.trees(3))
+    return refs.plot_site_map(w.raw_trees(3))
 
 
 @query("first_per_key")
@@ -289,7 +289,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("windowed_distinct_count")
 def _(w: Workspace) -> DataFrame:
-    raw = trees.canonical_trees(w.inputs.trees(3), CENSUSES[3]).select(
+    raw = trees.canonical_trees(w.raw_trees(3), CENSUSES[3]).select(
         "plot", "subplot", "tag_number", "diameter"
     )
     return grouped.windowed_distinct_count(raw, "plot", "subplot", "subplot_count")
@@ -309,7 +309,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("state_dictionary")
 def _(w: Workspace) -> DataFrame:
-    return refs.state_dictionary(w.inputs.trees(3))
+    return refs.state_dictionary(w.raw_trees(3))
 
 
 @query("census_panel_long")
@@ -412,7 +412,7 @@ def _(w: Workspace) -> DataFrame:
 
 @query("agb_reported")
 def _(w: Workspace) -> DataFrame:
-    raw = trees.canonical_trees(w.inputs.trees(3), CENSUSES[3])
+    raw = trees.canonical_trees(w.raw_trees(3), CENSUSES[3])
     return raw.select(
         "plot",
         "tag_number",
@@ -569,7 +569,7 @@ def _(w: Workspace) -> DataFrame:
 def _tree_agb(k: int) -> Build:
     def build(w: Workspace) -> DataFrame:
         spec = CENSUSES[k]
-        out = trees.tree_agb(w.inputs.trees(k), spec, w.refs)
+        out = trees.tree_agb(w.raw_trees(k), spec, w.refs)
         extra = ["collection_code"] if k == 3 else []
         return rounded(
             out.select(

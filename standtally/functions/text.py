@@ -40,18 +40,23 @@ def _accent_tables() -> tuple[str, str]:
     return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
 
 
-def fold_text(c: ColumnOrName) -> Column:
-    """Lower case without accents."""
+def fold_text(c: ColumnOrName, space: str = " ") -> Column:
+    """Lower case without accents; ``space`` is written for spaces.
+
+    Plain ASCII text, told by its byte length, skips the letter table.
+    """
+    source = F.lower(as_col(c))
     accented, plain = _accent_tables()
-    folded = F.translate(F.lower(as_col(c)), accented, plain)
+    folded = F.translate(source, accented, plain)
     for letter, spelled in SPELLED_OUT:
         folded = F.replace(folded, F.lit(letter), F.lit(spelled))
-    return folded
+    out = F.when(F.octet_length(source) == F.char_length(source), source).otherwise(folded)
+    return out if space == " " else F.replace(out, F.lit(" "), F.lit(space))
 
 
 def standardize_name(c: ColumnOrName) -> Column:
     """Lower case without accents, spaces as underscores."""
-    return F.replace(fold_text(c), F.lit(" "), F.lit("_"))
+    return fold_text(c, space="_")
 
 
 def state_alias(c: ColumnOrName) -> Column:
@@ -100,12 +105,15 @@ def parse_species(
             if literal
             else F.when(species == hybrid, F.lit("sp.")).otherwise(species)
         )
-    full = paste("genus", "species")
-    for mark in unknown_marks:
-        full = sub_first(full, mark, "Indet sp.")
-    return df.withColumns({"genus": F.get(words, F.lit(0)), "species": species}).withColumn(
-        "full_species", full
+    out = df.withColumns({"genus": F.get(words, F.lit(0)), "species": species}).withColumn(
+        "full_species", paste("genus", "species")
     )
+    name = F.col("full_species")
+    for mark in unknown_marks:
+        # Names without the mark, nearly all of them, skip the regex.
+        marked = F.when(name.contains(mark), sub_first(name, mark, "Indet sp.")).otherwise(name)
+        out = out.withColumn("full_species", marked)
+    return out
 
 
 def vegetation_status(disturbance: ColumnOrName, secondary: ColumnOrName) -> Column:

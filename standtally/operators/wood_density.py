@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from standtally.functions import fixed
 from standtally.functions.semantics import exact_mean, paste
 from standtally.sources.staging import fits_broadcast, stage
 
+# Stands for a missing taxon inside a map; no name contains a control character.
+NO_TAXON = "\u0001"
+
 SITE_LEVELS = {"species": "full_species", "genus": "genus", "family": "family"}
 
 
@@ -62,25 +65,18 @@ def global_density_levels(global_wd: DataFrame, region: str | None = None) -> Da
     return species.unionByName(genus).unionByName(family).filter(F.col("wd").isNotNull())
 
 
-def add_global_density(trees: DataFrame, levels: DataFrame, epithet: str = "species") -> DataFrame:
-    """Add ``global_wd`` and ``global_level`` of the finest level that covers a tree.
-
-    Matching goes by full name, so a tree whose full name is not its genus and epithet
-    (an undetermined tree) finds nothing.
-    """
-    hint = F.broadcast if fits_broadcast(levels) else (lambda df: df)
+def _add_global_joined(trees: DataFrame, levels: DataFrame, epithet: str) -> DataFrame:
+    """Global means by one left join per level, for tables of any size."""
 
     def side(level: str) -> DataFrame:
-        return hint(
-            levels.filter(F.col("level") == level).select(
-                F.col("genus").alias("_genus"),
-                F.col("taxon").alias("_taxon"),
-                F.col("wd").alias(f"_wd_{level}"),
-            )
+        return levels.filter(F.col("level") == level).select(
+            F.col("genus").alias("_genus"),
+            F.col("taxon").alias("_taxon"),
+            F.col("wd").alias(f"_wd_{level}"),
         )
 
     same_genus = F.col("genus") == F.col("_genus")
-    found = (
+    return (
         trees.join(side("species"), same_genus & (F.col(epithet) == F.col("_taxon")), "left")
         .drop("_genus", "_taxon")
         .join(side("genus"), same_genus, "left")
@@ -88,6 +84,40 @@ def add_global_density(trees: DataFrame, levels: DataFrame, epithet: str = "spec
         .join(side("family"), F.col("family") == F.col("_taxon"), "left")
         .drop("_genus", "_taxon")
     )
+
+
+def _add_global_nested(trees: DataFrame, levels: DataFrame, epithet: str) -> DataFrame:
+    """Global means from two small broadcasts: genera with their species, and families."""
+    level = F.col("level")
+    genera = (
+        levels.filter(level != "family")
+        .groupBy(F.col("genus").alias("_genus"))
+        .agg(
+            _taxon_map(F.when(level == "species", F.col("taxon"))).alias("_species"),
+            F.max(F.when(level == "genus", F.col("wd"))).alias("_wd_genus"),
+        )
+    )
+    families = levels.filter(level == "family").select(
+        F.col("taxon").alias("_family"), F.col("wd").alias("_wd_family")
+    )
+    return (
+        trees.join(F.broadcast(genera), F.col("genus") == F.col("_genus"), "left")
+        .join(F.broadcast(families), F.col("family") == F.col("_family"), "left")
+        .withColumn("_wd_species", F.element_at("_species", F.col(epithet)))
+        .drop("_genus", "_family", "_species")
+    )
+
+
+def add_global_density(
+    trees: DataFrame, levels: DataFrame, epithet: str = "species", small: bool | None = None
+) -> DataFrame:
+    """Add ``global_wd`` and ``global_level`` of the finest level that covers a tree.
+
+    Matching goes by full name, so a tree whose full name is not its genus and epithet
+    (an undetermined tree) finds nothing.
+    """
+    small = fits_broadcast(levels) if small is None else small
+    found = (_add_global_nested if small else _add_global_joined)(trees, levels, epithet)
     means = {level: F.col(f"_wd_{level}") for level in ("species", "genus", "family")}
     label = F
     for level, wd in means.items():
@@ -109,8 +139,14 @@ def global_wood_density(
     return add_global_density(trees, levels, epithet)
 
 
-def _site_wood_density(trees: DataFrame, levels: DataFrame, hint: bool) -> DataFrame:
-    """Add ``site_wd`` by three left joins, each matching missing taxa to missing taxa."""
+def _taxon_map(taxon: Column) -> Column:
+    """Aggregate: taxon to density. Only for tables that passed the broadcast check."""
+    entries = F.collect_list(F.when(taxon.isNotNull(), F.struct(taxon, F.col("wd"))))
+    return F.map_from_entries(entries)
+
+
+def _add_site_joined(trees: DataFrame, levels: DataFrame) -> DataFrame:
+    """Site means by one left join per level, matching missing taxa to missing taxa."""
     out = trees
     for level, taxon in SITE_LEVELS.items():
         side = levels.filter(F.col("level") == level).select(
@@ -119,7 +155,37 @@ def _site_wood_density(trees: DataFrame, levels: DataFrame, hint: bool) -> DataF
             F.col("wd").alias(f"_site_{level}"),
         )
         on = (F.col("source_code") == F.col("_site")) & F.col(taxon).eqNullSafe(F.col("_taxon"))
-        out = out.join(F.broadcast(side) if hint else side, on, "left").drop("_site", "_taxon")
+        out = out.join(side, on, "left").drop("_site", "_taxon")
+    return out
+
+
+def _add_site_nested(trees: DataFrame, levels: DataFrame) -> DataFrame:
+    """Site means from one small broadcast that nests the taxa of a site.
+
+    One probe instead of three keeps the generated code of the tree stage small enough
+    to be compiled.
+    """
+    named = F.coalesce(F.col("taxon"), F.lit(NO_TAXON))
+    sites = levels.groupBy(F.col("source_code").alias("_site")).agg(
+        *[
+            _taxon_map(F.when(F.col("level") == level, named)).alias(f"_map_{level}")
+            for level in SITE_LEVELS
+        ]
+    )
+    out = trees.join(F.broadcast(sites), F.col("source_code") == F.col("_site"), "left")
+    return out.withColumns(
+        {
+            f"_site_{level}": F.element_at(
+                f"_map_{level}", F.coalesce(F.col(taxon), F.lit(NO_TAXON))
+            )
+            for level, taxon in SITE_LEVELS.items()
+        }
+    ).drop("_site", *[f"_map_{level}" for level in SITE_LEVELS])
+
+
+def add_site_density(trees: DataFrame, levels: DataFrame, small: bool) -> DataFrame:
+    """Add ``site_wd``: the site's mean for the species, else genus, else family."""
+    out = (_add_site_nested if small else _add_site_joined)(trees, levels)
     means = [f"_site_{level}" for level in SITE_LEVELS]
     return out.withColumn("site_wd", F.coalesce(*[F.col(m) for m in means])).drop(*means)
 
@@ -134,17 +200,21 @@ def assign_wood_density(
 ) -> DataFrame:
     """Add ``wood_density`` (never missing) and ``level_wd`` from staged level tables.
 
-    The rows of the site means are counted. A small table is broadcast and trees never
-    move (``strategy="broadcast"``). Beyond that the cascade is resolved once per
+    The rows of both tables are counted. Small tables are broadcast and trees never move
+    (``strategy="broadcast"``). Beyond that the cascade is resolved once per
     distinct taxon of a plot, which map-side combine keeps far below the tree count,
     and trees shuffle once, on plot and taxon together, so that one hot plot spreads
     over its taxa (``strategy="shuffle"``).
     """
-    small = fits_broadcast(site_levels) if strategy == "auto" else strategy == "broadcast"
+    small = (
+        fits_broadcast(site_levels) and fits_broadcast(global_levels)
+        if strategy == "auto"
+        else strategy == "broadcast"
+    )
 
     def resolve(df: DataFrame) -> DataFrame:
         both = add_global_density(
-            _site_wood_density(df, site_levels, small), global_levels, epithet
+            add_site_density(df, site_levels, small), global_levels, epithet, small
         )
         return both.withColumns(
             {

@@ -37,6 +37,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ingest(df: DataFrame, name: str) -> DataFrame:
+    """Store an input once as Parquet; an input of few splits spreads over all cores first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return stage(df.repartition(cores) if df.rdd.getNumPartitions() < cores else df, name)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether the table has at most ``max_rows`` rows; counts no further than that."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows

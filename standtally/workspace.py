@@ -12,7 +12,7 @@ from standtally.plans import census, metadata, panel, refs, trees
 from standtally.plans.refs import Refs
 from standtally.plans.spec import CENSUSES
 from standtally.sources.derived import DerivedInventory
-from standtally.sources.staging import stage
+from standtally.sources.staging import ingest, stage
 
 REGION = "Mexico"
 
@@ -23,16 +23,23 @@ class Workspace:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.inputs = DerivedInventory(spark, folder)
+        self._trees: dict[int, DataFrame] = {}
         self._plots: dict[int, DataFrame] = {}
 
+    def raw_trees(self, k: int) -> DataFrame:
+        """The tree table of one census, ingested once."""
+        if k not in self._trees:
+            self._trees[k] = ingest(self.inputs.trees(k), f"trees-c{k}")
+        return self._trees[k]
+
     @cached_property
     def states(self) -> DataFrame:
-        return stage(refs.state_dictionary(self.inputs.trees(3)), "states")
+        return stage(refs.state_dictionary(self.raw_trees(3)), "states")
 
     @cached_property
     def refs(self) -> Refs:
         return refs.build_refs(
-            self.inputs.trees(3),
+            self.raw_trees(3),
             self.inputs.wood_samples(),
             self.inputs.global_wood_density(),
             self.inputs.vegetation(),
@@ -42,7 +49,7 @@ class Workspace:
 
     def samples(self) -> DataFrame:
         return refs.site_samples(
-            self.inputs.wood_samples(), refs.plot_site_map(self.inputs.trees(3))
+            self.inputs.wood_samples(), refs.plot_site_map(self.raw_trees(3))
         )
 
     def key(self, df: DataFrame) -> DataFrame:
@@ -52,14 +59,14 @@ class Workspace:
     def keyed(self, k: int, literal: bool = False) -> DataFrame:
         """Trees with key and species, before any density."""
         spec = CENSUSES[k]
-        cleaned = trees.clean_sentinels(self.inputs.trees(k), spec)
+        cleaned = trees.clean_sentinels(self.raw_trees(k), spec)
         named = refs.with_plot_key(cleaned, "plot", "state_name", self.states)
         return trees.parse_species(
             named, "scientific_name", spec.unknown_marks, hybrid=spec.hybrid, literal=literal
         )
 
     def all_trees(self, k: int) -> DataFrame:
-        return trees.all_trees(self.inputs.trees(k), CENSUSES[k], self.refs)
+        return trees.all_trees(self.raw_trees(k), CENSUSES[k], self.refs)
 
     def disturbed(self, k: int) -> DataFrame:
         return metadata.disturbance_full_join(
