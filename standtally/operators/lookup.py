@@ -14,9 +14,8 @@ def first_entries(
     dictionary: DataFrame, key: str, value: str, order_by: Sequence[str] | None = None
 ) -> DataFrame:
     """One row per dictionary key: the first under ``order_by`` (default: the value)."""
-    return dictionary.groupBy(key).agg(
-        first_value_by(value, list(order_by or [value])).alias(value)
-    )
+    first = first_value_by(value, order_by) if order_by else F.min(value)
+    return dictionary.groupBy(key).agg(first.alias(value))
 
 
 def lookup_first(

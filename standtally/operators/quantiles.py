@@ -17,20 +17,29 @@ def magnitude_bucket(v: Column) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * BUCKETS_PER_E).cast("bigint")
 
 
+def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Distinct values per group with their number of rows; missing values leave."""
+    return (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(group, value)
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+    )
+
+
 def exact_quantiles(
-    df: DataFrame, group: str, value: str, probs: Sequence[float]
+    counts: DataFrame, group: str, value: str, probs: Sequence[float]
 ) -> DataFrame:
     """Linear-interpolated quantiles per group as columns ``q0``, ``q1``, ... plus ``n``.
 
-    Equal values are counted first (map-side). Bucket counts, bounded in number, locate
-    the buckets that hold the wanted ranks; only the distinct values in those buckets
-    are then ordered. No group's values ever meet in one task.
+    ``counts`` comes from ``value_counts`` (stage it: it is read twice). Bucket counts,
+    bounded in number, locate the buckets that hold the wanted ranks; only the distinct
+    values in those buckets are then ordered. No group's values ever meet in one task.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(group, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", magnitude_bucket(F.col("_v")))
+    counted = counts.select(
+        group,
+        F.col(value).alias("_v"),
+        F.col("n_rows").alias("_c"),
+        magnitude_bucket(F.col(value)).alias("_b"),
     )
     running = W.partitionBy(group).orderBy("_b")
     buckets = (

@@ -62,13 +62,13 @@ def dense_rank_keys(
 def number_plots(
     df: DataFrame, key: str, collection: str, within: str | None, out: str = "plot_code"
 ) -> DataFrame:
-    """Add ``<collection>_PL0001`` codes, ranking plots inside ``within`` or over all."""
-    tagged = df.withColumn("_group", text_or_na(within)) if within else df
+    """Add ``<collection>_PL0001`` codes, ranking plots inside ``within`` or over all.
+
+    The plot-level input is staged, as both the key ranking and the result read it.
+    """
+    tagged = stage(df.withColumn("_group", text_or_na(within)) if within else df, "numbered")
     groups = ["_group"] if within else []
     ranks = dense_rank_keys(tagged.filter(F.col(key).isNotNull()), groups, key, "_rank")
-    code = F.concat_ws(
-        "_", text_or_na(collection), F.format_string("PL%04d", F.col("_rank"))
-    )
-    return (
-        tagged.join(ranks, [*groups, key], "left").withColumn(out, code).drop("_rank", "_group")
-    ).select(*[c for c in df.columns if c != out], out)
+    code = F.concat_ws("_", text_or_na(collection), F.format_string("PL%04d", F.col("_rank")))
+    coded = tagged.join(ranks, [*groups, key], "left").withColumn(out, code)
+    return coded.select(*[c for c in df.columns if c != out], out)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from standtally.operators.quantiles import exact_quantiles
+from standtally.operators.quantiles import exact_quantiles, value_counts
+from standtally.sources.staging import stage
 
 METHODS = ["agb_tree_kg", "agb2_tree_kg", "agb3_tree_kg"]
 
@@ -19,9 +20,14 @@ def agb_methods_long(trees: DataFrame, ids: list[str] | None = None) -> DataFram
 
 
 def agb_method_boxstats(trees: DataFrame) -> DataFrame:
-    """Box-plot statistics per estimate: quartiles, 1.5 IQR whiskers, outliers."""
-    long = agb_methods_long(trees, ids=[])
-    boxes = exact_quantiles(long, "agb_type", "agb_value", [0.25, 0.5, 0.75]).select(
+    """Box-plot statistics per estimate: quartiles, 1.5 IQR whiskers, outliers.
+
+    Trees are read once, into a staged table of distinct values with their counts.
+    """
+    counts = stage(
+        value_counts(agb_methods_long(trees, ids=[]), "agb_type", "agb_value"), "agb-counts"
+    )
+    boxes = exact_quantiles(counts, "agb_type", "agb_value", [0.25, 0.5, 0.75]).select(
         "agb_type",
         "n",
         F.col("q0").alias("q1"),
@@ -29,7 +35,7 @@ def agb_method_boxstats(trees: DataFrame) -> DataFrame:
         F.col("q2").alias("q3"),
     )
     # One row per estimate, at most three.
-    fenced = long.join(F.broadcast(boxes), "agb_type")
+    fenced = counts.join(F.broadcast(boxes), "agb_type")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col("agb_value") >= F.col("q1") - reach) & (
         F.col("agb_value") <= F.col("q3") + reach
@@ -37,7 +43,7 @@ def agb_method_boxstats(trees: DataFrame) -> DataFrame:
     return fenced.groupBy("agb_type", "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("agb_value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("agb_value"))).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n_rows"))).alias("outliers"),
     )
 
 

@@ -202,8 +202,8 @@ def panel_with_change(
 ) -> DataFrame:
     """The change panel: long form, change, plot codes, constants, classes, registry.
 
-    Rows without biomass leave only after the window, as they take part in it. Pass
-    plot tables that are stored (or staged): their keys are read again for numbering.
+    Rows without biomass leave only after the window, as they take part in it. Plot
+    tables are read for their keys and for their rows, so pass stored ones.
     """
     if one_row_per_census:
         c1, c2, c3 = _one_per_plot(c1), _one_per_plot(c2), _one_per_plot(c3)

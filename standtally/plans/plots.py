@@ -21,17 +21,25 @@ MEAN_SCALE = 4
 REPORTED_DECIMAL = "decimal(38,6)"
 
 
-def first_coordinates() -> Column:
-    """Aggregate: subplot, tag, lat, long of the first tree in the lowest subplot."""
-    place = F.struct("subplot", "tag_number", "lat", "long")
+def first_place() -> Column:
+    """Aggregate over rows that hold the lowest tag of their place: the first tree of the
+    lowest subplot, as a struct of subplot, tag, lat, long."""
+    place = F.struct("subplot", "_tag", "lat", "long")
     return F.min(F.when(F.col("subplot").isNotNull(), place))
 
 
 def plot_coordinates(trees: DataFrame) -> DataFrame:
-    """One coordinate pair per plot, as an aggregate that combines on the map side."""
+    """One coordinate pair per plot.
+
+    A minimum over structs cannot be hash-aggregated, so trees first shrink by hash to
+    the places of a plot with their lowest tags.
+    """
+    places = trees.groupBy("source_code", "subplot", "lat", "long").agg(
+        F.min("tag_number").alias("_tag")
+    )
     return (
-        trees.groupBy("source_code")
-        .agg(first_coordinates().alias("_c"))
+        places.groupBy("source_code")
+        .agg(first_place().alias("_c"))
         .filter(F.col("_c").isNotNull())
         .select("source_code", F.col("_c.lat").alias("lat"), F.col("_c.long").alias("long"))
     )
@@ -40,7 +48,7 @@ def plot_coordinates(trees: DataFrame) -> DataFrame:
 def plot_rollup(trees: DataFrame, spec: CensusSpec, coordinates: bool = False) -> DataFrame:
     """Plot totals of one census from its tree rows, unmeasured trees included.
 
-    ``coordinates`` adds the ``_c`` struct of ``first_coordinates`` per output row.
+    ``coordinates`` adds the ``_c`` struct of ``first_place`` per output row.
     """
     out = _rollup_all_subplots(trees, spec) if spec.all_subplots else _rollup(
         trees, spec, coordinates
@@ -49,16 +57,31 @@ def plot_rollup(trees: DataFrame, spec: CensusSpec, coordinates: bool = False) -
 
 
 def _rollup(trees: DataFrame, spec: CensusSpec, coordinates: bool) -> DataFrame:
+    """Two hash aggregates: trees to subplots, where map-side combine folds even a hot
+    plot into a few rows, then subplots to plots."""
     keys = ["source_code", *spec.labels, "census_date", *spec.group_extra]
-    extra = [first_coordinates().alias("_c")] if coordinates else []
+    place = ["subplot", "lat", "long"] if coordinates else ["subplot"]
+    subplots = trees.groupBy(*keys, *place).agg(
+        F.sum(fixed_point("agb_tree_kg", 2)).alias("_kg"),
+        F.sum(fixed_point("stand_age", MEAN_SCALE)).alias("_age"),
+        F.count("stand_age").alias("_ages"),
+        F.sum(fixed_point("height", MEAN_SCALE)).alias("_height"),
+        F.count("height").alias("_heights"),
+        *([F.min("tag_number").alias("_tag")] if coordinates else []),
+    )
+
+    def mean(total: str, n: str) -> Column:
+        return mean_from_sums(F.sum(total), F.sum(n), 2, MEAN_SCALE)
+
+    kg100 = F.coalesce(F.sum("_kg"), F.lit(0))
     return (
-        trees.groupBy(*keys)
+        subplots.groupBy(*keys)
         .agg(
             count_distinct_na("subplot").alias("subplot_count"),
-            (F.round(sum_fixed("agb_tree_kg", 2) / 1000.0) / 100.0).alias("agb_plot"),
-            rounded_mean("stand_age", 2, MEAN_SCALE).alias("stand_age"),
-            rounded_mean("height", 2, MEAN_SCALE).alias("height"),
-            *extra,
+            (F.round(kg100 / 1000.0) / 100.0).alias("agb_plot"),
+            mean("_age", "_ages").alias("stand_age"),
+            mean("_height", "_heights").alias("height"),
+            *([first_place().alias("_c")] if coordinates else []),
         )
         .withColumn("plot_area_ha", plot_area_ha("subplot_count"))
         .withColumn(

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standtally.functions import fixed
 from standtally.functions.text import plot_key, standardize_name, state_alias
 from standtally.operators.lookup import lookup_first
 from standtally.operators.wood_density import global_density_levels, site_density_levels
-from standtally.sources.staging import stage
+from standtally.sources.staging import literal_table, stage
 
 
 def state_dictionary(trees_c3: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def state_dictionary(trees_c3: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("std_name", state_alias(standardize_name("name")))
     )
-    aliases = trees_c3.sparkSession.createDataFrame(
-        fixed.STATE_ALIASES, "code int, name string, std_name string"
+    aliases = literal_table(
+        trees_c3.sparkSession, fixed.STATE_ALIASES, "code int, name string, std_name string"
     )
     return observed.unionByName(aliases)
 
@@ -43,9 +43,9 @@ def plot_site_map(trees_c3: DataFrame) -> DataFrame:
     )
 
 
-def ownership_dictionary(spark) -> DataFrame:
+def ownership_dictionary(spark: SparkSession) -> DataFrame:
     """Ownership, Spanish to English."""
-    return spark.createDataFrame(fixed.OWNERSHIP, "land_owner_es string, land_owner_en string")
+    return literal_table(spark, fixed.OWNERSHIP, "land_owner_es string, land_owner_en string")
 
 
 def site_samples(wood_samples: DataFrame, sites: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from standtally.sources.staging import literal_table
+
 NBSP = "\u00a0"
 
 VEGETATION_TEXTS = [
@@ -334,12 +336,13 @@ class DerivedInventory:
         )
 
     def vegetation(self) -> DataFrame:
-        return self.spark.createDataFrame(
+        return literal_table(
+            self.spark,
             VEGETATION_CLASSES,
             "source_veg_class_en string, source_veg_class_std_es string, climate string",
         )
 
     def disturbance_names(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            DISTURBANCE_NAMES, "impactos_ambientales string, distubances_en string"
+        return literal_table(
+            self.spark, DISTURBANCE_NAMES, "impactos_ambientales string, distubances_en string"
         )

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A broadcast side is at most this many rows of a few short columns (tens of MB).
 BROADCAST_ROWS = 500_000
@@ -43,6 +44,16 @@ def ingest(df: DataFrame, name: str) -> DataFrame:
     return stage(df.repartition(cores) if df.rdd.getNumPartitions() < cores else df, name)
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A fixed small table as a plan literal, so that the planner knows its size."""
+    fields = T.StructType.fromDDL(schema).fields
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields, strict=True)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether the table has at most ``max_rows`` rows; counts no further than that."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
