@@ -89,6 +89,7 @@ def build_refs(
     vegetation: DataFrame,
     disturbances: DataFrame,
     region: str | None = None,
+    states: DataFrame | None = None,
 ) -> Refs:
     """Derive the state dictionary, the site map and the density means once.
 
@@ -98,7 +99,7 @@ def build_refs(
     spark = trees_c3.sparkSession
     sites = stage(plot_site_map(trees_c3), "plot-sites")
     return Refs(
-        states=stage(state_dictionary(trees_c3), "states"),
+        states=stage(state_dictionary(trees_c3), "states") if states is None else states,
         site_levels=stage(site_density_levels(site_samples(wood_samples, sites)), "site-density"),
         global_levels=stage(global_density_levels(global_wd, region), "global-density"),
         vegetation=vegetation,

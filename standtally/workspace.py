@@ -45,6 +45,7 @@ class Workspace:
             self.inputs.vegetation(),
             self.inputs.disturbance_names(),
             region=REGION,
+            states=self.states,
         )
 
     def samples(self) -> DataFrame:
