@@ -541,8 +541,7 @@ def _density(k: int, strategy: str) -> Build:
     def build(w: Workspace) -> DataFrame:
         dense = wood_density.assign_wood_density(
             w.keyed(k),
-            w.refs.site_levels,
-            w.refs.global_levels,
+            w.refs.densities,
             epithet=CENSUSES[k].epithet,
             strategy=strategy,
         )

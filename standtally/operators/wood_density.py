@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,10 +88,10 @@ def _add_global_joined(trees: DataFrame, levels: DataFrame, epithet: str) -> Dat
     )
 
 
-def _add_global_nested(trees: DataFrame, levels: DataFrame, epithet: str) -> DataFrame:
-    """Global means from two small broadcasts: genera with their species, and families."""
+def nest_genera(levels: DataFrame) -> DataFrame:
+    """Genera with their mean and a map of their species' means."""
     level = F.col("level")
-    genera = (
+    return (
         levels.filter(level != "family")
         .groupBy(F.col("genus").alias("_genus"))
         .agg(
@@ -97,7 +99,13 @@ def _add_global_nested(trees: DataFrame, levels: DataFrame, epithet: str) -> Dat
             F.max(F.when(level == "genus", F.col("wd"))).alias("_wd_genus"),
         )
     )
-    families = levels.filter(level == "family").select(
+
+
+def _add_global_nested(
+    trees: DataFrame, levels: DataFrame, genera: DataFrame, epithet: str
+) -> DataFrame:
+    """Global means from two small broadcasts: genera with their species, and families."""
+    families = levels.filter(F.col("level") == "family").select(
         F.col("taxon").alias("_family"), F.col("wd").alias("_wd_family")
     )
     return (
@@ -109,15 +117,19 @@ def _add_global_nested(trees: DataFrame, levels: DataFrame, epithet: str) -> Dat
 
 
 def add_global_density(
-    trees: DataFrame, levels: DataFrame, epithet: str = "species", small: bool | None = None
+    trees: DataFrame, levels: DataFrame, genera: DataFrame | None, epithet: str = "species"
 ) -> DataFrame:
     """Add ``global_wd`` and ``global_level`` of the finest level that covers a tree.
 
-    Matching goes by full name, so a tree whose full name is not its genus and epithet
-    (an undetermined tree) finds nothing.
+    ``genera`` is the nested form of ``levels``, given only when they passed the
+    broadcast check. Matching goes by full name, so a tree whose full name is not its
+    genus and epithet (an undetermined tree) finds nothing.
     """
-    small = fits_broadcast(levels) if small is None else small
-    found = (_add_global_nested if small else _add_global_joined)(trees, levels, epithet)
+    found = (
+        _add_global_joined(trees, levels, epithet)
+        if genera is None
+        else _add_global_nested(trees, levels, genera, epithet)
+    )
     means = {level: F.col(f"_wd_{level}") for level in ("species", "genus", "family")}
     label = F
     for level, wd in means.items():
@@ -136,7 +148,8 @@ def global_wood_density(
 ) -> DataFrame:
     """Look trees up in a density table of one region (default: all of it)."""
     levels = stage(global_density_levels(global_wd, region), "global-density")
-    return add_global_density(trees, levels, epithet)
+    genera = nest_genera(levels) if fits_broadcast(levels) else None
+    return add_global_density(trees, levels, genera, epithet)
 
 
 def _taxon_map(taxon: Column) -> Column:
@@ -159,19 +172,23 @@ def _add_site_joined(trees: DataFrame, levels: DataFrame) -> DataFrame:
     return out
 
 
-def _add_site_nested(trees: DataFrame, levels: DataFrame) -> DataFrame:
-    """Site means from one small broadcast that nests the taxa of a site.
-
-    One probe instead of three keeps the generated code of the tree stage small enough
-    to be compiled.
-    """
+def nest_sites(levels: DataFrame) -> DataFrame:
+    """Sites with one map per level from taxon to mean."""
     named = F.coalesce(F.col("taxon"), F.lit(NO_TAXON))
-    sites = levels.groupBy(F.col("source_code").alias("_site")).agg(
+    return levels.groupBy(F.col("source_code").alias("_site")).agg(
         *[
             _taxon_map(F.when(F.col("level") == level, named)).alias(f"_map_{level}")
             for level in SITE_LEVELS
         ]
     )
+
+
+def _add_site_nested(trees: DataFrame, sites: DataFrame) -> DataFrame:
+    """Site means from one small broadcast that nests the taxa of a site.
+
+    One probe instead of three keeps the generated code of the tree stage small enough
+    to be compiled.
+    """
     out = trees.join(F.broadcast(sites), F.col("source_code") == F.col("_site"), "left")
     return out.withColumns(
         {
@@ -183,38 +200,55 @@ def _add_site_nested(trees: DataFrame, levels: DataFrame) -> DataFrame:
     ).drop("_site", *[f"_map_{level}" for level in SITE_LEVELS])
 
 
-def add_site_density(trees: DataFrame, levels: DataFrame, small: bool) -> DataFrame:
-    """Add ``site_wd``: the site's mean for the species, else genus, else family."""
-    out = (_add_site_nested if small else _add_site_joined)(trees, levels)
-    means = [f"_site_{level}" for level in SITE_LEVELS]
-    return out.withColumn("site_wd", F.coalesce(*[F.col(m) for m in means])).drop(*means)
+@dataclass(frozen=True)
+class DensityTables:
+    """Staged density means; the nested forms exist only below the broadcast bound."""
+
+    site_levels: DataFrame
+    global_levels: DataFrame
+    sites: DataFrame | None
+    genera: DataFrame | None
+
+
+def density_tables(
+    samples: DataFrame, global_wd: DataFrame, region: str | None = None
+) -> DensityTables:
+    """Stage the site and global means, count their rows, and nest them if small."""
+    site_levels = stage(site_density_levels(samples), "site-density")
+    global_levels = stage(global_density_levels(global_wd, region), "global-density")
+    small = fits_broadcast(site_levels) and fits_broadcast(global_levels)
+    return DensityTables(
+        site_levels,
+        global_levels,
+        stage(nest_sites(site_levels), "nested-sites") if small else None,
+        stage(nest_genera(global_levels), "nested-genera") if small else None,
+    )
 
 
 def assign_wood_density(
     trees: DataFrame,
-    site_levels: DataFrame,
-    global_levels: DataFrame,
+    tables: DensityTables,
     default: float = fixed.DEFAULT_WOOD_DENSITY,
     epithet: str = "species",
     strategy: str = "auto",
 ) -> DataFrame:
-    """Add ``wood_density`` (never missing) and ``level_wd`` from staged level tables.
+    """Add ``wood_density`` (never missing) and ``level_wd`` to every tree.
 
-    The rows of both tables are counted. Small tables are broadcast and trees never move
-    (``strategy="broadcast"``). Beyond that the cascade is resolved once per
-    distinct taxon of a plot, which map-side combine keeps far below the tree count,
-    and trees shuffle once, on plot and taxon together, so that one hot plot spreads
-    over its taxa (``strategy="shuffle"``).
+    Small tables are broadcast and trees never move. Beyond the bound, or with
+    ``strategy="shuffle"``, the cascade is resolved once per distinct taxon of a plot,
+    which map-side combine keeps far below the tree count, and trees shuffle once, on
+    plot and taxon together, so that one hot plot spreads over its taxa.
     """
-    small = (
-        fits_broadcast(site_levels) and fits_broadcast(global_levels)
-        if strategy == "auto"
-        else strategy == "broadcast"
-    )
+    small = tables.sites is not None and strategy == "auto"
 
     def resolve(df: DataFrame) -> DataFrame:
+        sited = (
+            _add_site_nested(df, tables.sites) if small else _add_site_joined(df, tables.site_levels)
+        )
+        means = [f"_site_{level}" for level in SITE_LEVELS]
+        sited = sited.withColumn("site_wd", F.coalesce(*[F.col(m) for m in means])).drop(*means)
         both = add_global_density(
-            add_site_density(df, site_levels, small), global_levels, epithet, small
+            sited, tables.global_levels, tables.genera if small else None, epithet
         )
         return both.withColumns(
             {
@@ -248,10 +282,5 @@ def wood_density_cascade(
 ) -> DataFrame:
     """Density of every tree from site samples, a density table and a constant."""
     return assign_wood_density(
-        trees,
-        stage(site_density_levels(samples), "site-density"),
-        stage(global_density_levels(global_wd, region), "global-density"),
-        default,
-        epithet,
-        strategy,
+        trees, density_tables(samples, global_wd, region), default, epithet, strategy
     )

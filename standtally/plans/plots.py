@@ -74,10 +74,12 @@ def _rollup(trees: DataFrame, spec: CensusSpec, coordinates: bool) -> DataFrame:
         return mean_from_sums(F.sum(total), F.sum(n), 2, MEAN_SCALE)
 
     kg100 = F.coalesce(F.sum("_kg"), F.lit(0))
+    # Without places every subplot is one row already, a missing one included.
+    n = count_distinct_na("subplot") if coordinates else F.count(F.lit(1))
     return (
         subplots.groupBy(*keys)
         .agg(
-            count_distinct_na("subplot").alias("subplot_count"),
+            n.alias("subplot_count"),
             (F.round(kg100 / 1000.0) / 100.0).alias("agb_plot"),
             mean("_age", "_ages").alias("stand_age"),
             mean("_height", "_heights").alias("height"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from standtally.functions import fixed
 from standtally.functions.text import plot_key, standardize_name, state_alias
 from standtally.operators.lookup import lookup_first
-from standtally.operators.wood_density import global_density_levels, site_density_levels
+from standtally.operators.wood_density import DensityTables, density_tables
 from standtally.sources.staging import literal_table, stage
 
 
@@ -75,8 +75,7 @@ class Refs:
     """Shared tables: states, density means, dictionaries."""
 
     states: DataFrame
-    site_levels: DataFrame
-    global_levels: DataFrame
+    densities: DensityTables
     vegetation: DataFrame
     disturbances: DataFrame
     ownership: DataFrame
@@ -100,8 +99,7 @@ def build_refs(
     sites = stage(plot_site_map(trees_c3), "plot-sites")
     return Refs(
         states=stage(state_dictionary(trees_c3), "states") if states is None else states,
-        site_levels=stage(site_density_levels(site_samples(wood_samples, sites)), "site-density"),
-        global_levels=stage(global_density_levels(global_wd, region), "global-density"),
+        densities=density_tables(site_samples(wood_samples, sites), global_wd, region),
         vegetation=vegetation,
         disturbances=disturbances,
         ownership=ownership_dictionary(spark),

@@ -81,8 +81,7 @@ def all_trees(
     """Every tree row with density and biomass, unmeasured trees included."""
     dense = assign_wood_density(
         keyed_trees(raw, spec, refs, literal),
-        refs.site_levels,
-        refs.global_levels,
+        refs.densities,
         epithet=spec.epithet,
         strategy=strategy,
     )

@@ -139,7 +139,7 @@ DENSITY_TREES = [
 ]
 
 
-@pytest.mark.parametrize("strategy", ["auto", "broadcast", "shuffle"])
+@pytest.mark.parametrize("strategy", ["auto", "shuffle"])
 def test_cascade_tiers(spark, strategy):
     trees = spark.createDataFrame(
         DENSITY_TREES, "source_code string, full_species string, genus string, species string, family string"
