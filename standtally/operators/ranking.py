@@ -13,6 +13,9 @@ from standtally.sources.staging import broadcast_if_small, stage
 # monotonically_increasing_id keeps the row position inside a partition in its low bits.
 POSITION_BITS = 33
 
+# Fewer keys than this are not worth another range.
+KEYS_PER_RANGE = 100_000
+
 
 def dense_rank_keys(
     keys: DataFrame, within: Sequence[str], order: str, out: str, partitions: int | None = None
@@ -27,7 +30,8 @@ def dense_rank_keys(
     """
     spark = keys.sparkSession
     columns = [*within, order]
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(1, min(most, keys.count() // KEYS_PER_RANGE))
     row_id = F.monotonically_increasing_id()
     ranged = stage(
         keys.select(*columns)
