@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standtally.llm import licenses, mixing, url_lists
+from standtally.llm import licenses, mixing, packing, quality, url_lists
 from standtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a packed sequence."""
+    import public_tokenizers
+
+    pieces = packing.tokenize_pieces(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    ).withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(pieces).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against the list entries that were active when it was fetched."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -21,6 +33,18 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("page_id", "url", "fetched_on", "n_block", "n_allow", "first_pattern", "blocked")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices and expressions of every document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -90,7 +114,9 @@ FROM parts p LEFT JOIN verdicts v ON v.url = p.url AND v.fetched_on = p.fetched_
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_best_fit_packing": op2_best_fit_packing,
         "op3_url_filters": op3_url_filters,
+        "op5_quality_classifier": op5_quality_classifier,
         "op6_license_scans": op6_license_scans,
         "op7_mixing": op7_mixing,
     }
