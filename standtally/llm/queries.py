@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standtally.llm import licenses, mixing, packing, quality, url_lists
+from standtally.llm import licenses, minhash, mixing, packing, quality, url_lists
 from standtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents, on shingles of four words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, size=4, percent=80)
+
+
 OP3_SQL = """
 WITH parts AS (
   SELECT page_id, url,
@@ -119,6 +125,7 @@ def queries() -> dict[str, Query]:
         "op5_quality_classifier": op5_quality_classifier,
         "op6_license_scans": op6_license_scans,
         "op7_mixing": op7_mixing,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
 
 
