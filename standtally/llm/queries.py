@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standtally.llm import licenses, minhash, mixing, packing, quality, url_lists
+from standtally.llm import cap_filters, licenses, minhash, mixing, packing, quality, url_lists
 from standtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, size=4, percent=80)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate vectors."""
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 OP3_SQL = """
 WITH parts AS (
   SELECT page_id, url,
@@ -126,6 +131,7 @@ def queries() -> dict[str, Query]:
         "op6_license_scans": op6_license_scans,
         "op7_mixing": op7_mixing,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
