@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standtally.llm import cap_filters, licenses, minhash, mixing, packing, quality, url_lists
+from standtally.llm import cap_filters, licenses, minhash, mixing, order_minhash, packing, quality, url_lists
 from standtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return order_minhash.fingerprint_documents(docs).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a packed sequence."""
     import public_tokenizers
@@ -125,6 +139,7 @@ FROM parts p LEFT JOIN verdicts v ON v.url = p.url AND v.fetched_on = p.fetched_
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_document_fingerprints": op1_document_fingerprints,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_url_filters": op3_url_filters,
         "op5_quality_classifier": op5_quality_classifier,
