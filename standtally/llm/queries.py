@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standtally.llm import cap_filters, licenses, minhash, mixing, order_minhash, packing, quality, url_lists
+from standtally.llm import cap_filters, licenses, minhash, mixing, order_minhash, packing, quality, surrogates, url_lists
 from standtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("page_id", "url", "fetched_on", "n_block", "n_allow", "first_pattern", "blocked")
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for the personal data in its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs).select("doc_id", "text", "pii.n_entities", "pii.kinds")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, learnt from the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -142,6 +148,7 @@ def queries() -> dict[str, Query]:
         "op1_document_fingerprints": op1_document_fingerprints,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_url_filters": op3_url_filters,
+        "op4_pii_surrogates": op4_pii_surrogates,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_license_scans": op6_license_scans,
         "op7_mixing": op7_mixing,
