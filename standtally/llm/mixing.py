@@ -22,6 +22,7 @@ from standtally.sources.staging import broadcast_if_small, stage
 
 # Documents of a source that are put in order by one task, at the least.
 BUCKET_ROWS = 2048
+BLANKS_AND_WORD = r"[\x20\x09-\x0D]*" + WORDS
 
 
 def word_count(text: Column) -> Column:
@@ -167,7 +168,10 @@ def repeat_documents(mixed: DataFrame) -> DataFrame:
     m = F.col("mix")
     part = (m["extra"] > 0) & (m["extra"] < m["size"])
     whole = m["whole"].cast("int") + ((m["size"] > 0) & (m["extra"] == m["size"])).cast("int")
-    copies = F.concat(F.array_repeat(F.lit(False), whole), F.when(part, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    cut = F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:" + WORDS + r"[\x20\x09-\x0D]*){"), m["extra"].cast("string"), F.lit("}"))
-    text = F.when(F.col("_part"), F.regexp_substr("text", cut)).otherwise(F.col("text"))
-    return mixed.withColumn("_part", F.explode(copies)).withColumn("text", text).select(*columns)
+    parts = F.when(part, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    words = F.regexp_extract_all("text", F.lit(BLANKS_AND_WORD), F.lit(0))
+    text = F.when(
+        F.col("_part"), F.array_join(F.slice(words, F.lit(1), m["extra"].cast("int")), "")
+    ).otherwise(F.col("text"))
+    repeated = mixed.withColumn("_part", F.explode(F.concat(F.array_repeat(F.lit(False), whole), parts)))
+    return repeated.withColumn("text", text).select(*[f"`{c}`" for c in columns])

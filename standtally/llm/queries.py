@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standtally.llm import cap_filters, licenses, minhash, mixing, order_minhash, packing, quality, surrogates, url_lists
+from standtally.llm import cap_filters, licenses, minhash, mixing, order_minhash, packing, quality, suffix_dedup, surrogates, url_lists
 from standtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to strings of 50 bytes that earlier documents hold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = suffix_dedup.remove_repeats(docs)
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("starts").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents, on shingles of four words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -152,6 +165,7 @@ def queries() -> dict[str, Query]:
         "op5_quality_classifier": op5_quality_classifier,
         "op6_license_scans": op6_license_scans,
         "op7_mixing": op7_mixing,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
