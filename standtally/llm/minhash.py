@@ -5,8 +5,9 @@ only a class's first document goes on. Minima of many universal hash functions a
 bands; documents that agree in a band are candidates. Of each bucket of candidates, all are
 first held against the member that shares most buckets: copies of one original need no more,
 however many they are. Members that this leaves in another component are then held against
-the rest of their bucket, unless the signatures rule a link out. Links are confirmed on full
-sets.
+the rest of their bucket, unless a link is ruled out: by the sizes, by the signatures, or by
+the shingles that a member shares with no other one, which bound what it can share with any.
+Links are confirmed on full sets.
 
 With 40 bands of 5 minima a pair of similarity 0.8 goes unseen with probability 1e-7. The
 signature keeps one bit of each of the 200 minima; a pair of similarity 0.8 differs in 20
@@ -197,6 +198,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_v.select("u", "v", "set_u", "set_v").mapInArrow(run, "u bigint, v bigint")
 
 
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """(doc_id, n_shared): how many shingles of each set occur in any other of the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                few = batch.slice(at, 200)
+                each = [np.frombuffer(s.as_buffer(), np.int64) for s in few.column(1)]
+                owner = np.repeat(few.column(0).to_numpy(), [len(s) for s in each])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(owner, pa.int64()), pa.array(np.concatenate(each), pa.int64())],
+                    names=["doc_id", "shingle"],
+                )
+
+    single = (
+        sets.select("doc_id", "set")
+        .mapInArrow(run, "doc_id bigint, shingle bigint")
+        .groupBy("shingle")
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("owners"))
+        .filter("owners = 1")
+        .groupBy("doc_id")
+        .agg(F.count("*").alias("alone"))
+    )
+    size = F.floor(F.octet_length("set") / 8)
+    return sets.join(single, "doc_id", "left").select(
+        "doc_id", (size - F.coalesce("alone", F.lit(0))).alias("n_shared")
+    )
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of ``docs``."""
     sketches = sketch(docs, size)
@@ -231,20 +261,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     found = components(links)
 
     # Whoever is not with the leader of a bucket yet meets those of its other components.
-    placed = stage(
+    rooted = stage(
         buckets.join(found, F.col("rep") == F.col("node"), "left")
         .select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-        .join(sizes, "rep"),
-        "placed",
+        .join(sizes.select("rep", "n_shingles"), "rep"),
+        "rooted",
     )
-    with_leader = placed.join(leaders, "bucket").join(
-        placed.select("bucket", F.col("rep").alias("leader"), F.col("root").alias("leader_root")),
-        ["bucket", "leader"],
+    undecided = (
+        rooted.groupBy("bucket")
+        .agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("n_shingles").alias("least_n"))
+        .filter("_low < _high")
+        .select("bucket", "least_n")
+    )
+    open_rows = stage(rooted.join(undecided, "bucket"), "undecided")
+    bounds = shared_shingles(
+        sets.join(open_rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    )
+    # A set that shares at most o shingles is no more than o / (n + m - o) like one of m.
+    shared_most, n = F.col("n_shared"), F.col("n_shingles")
+    placed = stage(
+        open_rows.join(bounds.withColumnRenamed("doc_id", "rep"), "rep")
+        .filter(100 * shared_most >= percent * (n + F.greatest("least_n", shared_most) - shared_most))
+        .join(sizes.select("rep", "bits"), "rep"),
+        "placed",
     )
-    apart = with_leader.filter("root <> leader_root").select(
-        "bucket",
-        *[F.col(c).alias(f"{c}_u") for c in ("rep", "root", "n_shingles", "bits")],
+    heads = open_rows.select("bucket", F.col("rep").alias("leader"), F.col("root").alias("leader_root"))
+    apart = (
+        placed.join(leaders.join(heads, ["bucket", "leader"]), "bucket")
+        .filter("root <> leader_root")
+        .select("bucket", *[F.col(c).alias(f"{c}_u") for c in ("rep", "root", "n_shingles", "n_shared", "bits")])
     )
+    most = F.least("n_shared", "n_shared_u")
     differing = sum(
         (F.bit_count(F.col("bits_u")[k].bitwiseXOR(F.col("bits")[k])) for k in range(-(-BANDS * ROWS // 64))),
         F.lit(0),
@@ -254,6 +301,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .filter(
             (F.col("root_u") != F.col("root"))
             & (100 * F.least("n_shingles", "n_shingles_u") >= percent * F.greatest("n_shingles", "n_shingles_u"))
+            & (100 * most >= percent * (F.col("n_shingles") + F.col("n_shingles_u") - most))
             & (differing <= MAX_BITS)
         )
         .select(F.least("rep", "rep_u").alias("u"), F.greatest("rep", "rep_u").alias("v"))
