@@ -431,7 +431,8 @@ def _cut_out(left: pd.DataFrame, right: pd.DataFrame, length: int) -> pd.DataFra
     if not len(left):
         return pd.DataFrame(columns=[c.split()[0] for c in KEPT.split(", ")])
     ids, ends, data = _opened(left["ids"][0], left["lengths"][0], left["packed"][0])
-    change = np.zeros(len(data) + 1, np.int32)
+    starts: list[np.ndarray] = []
+    stops: list[np.ndarray] = []
     places = right[right["firsts"].notna()]
     if len(places):
         first = np.frombuffer(places["firsts"].iloc[0], np.int64)
@@ -444,10 +445,12 @@ def _cut_out(left: pd.DataFrame, right: pd.DataFrame, length: int) -> pd.DataFra
             at = np.repeat(a, b - a) + _ramp(b - a)
             later = np.frombuffer(s, np.int64)[run] < owner[at]
             run, at = run[later], at[later]
-            start = first[at] + np.frombuffer(o, np.uint8)[run]
-            stop = start + np.frombuffer(w, np.uint8)[run] - 1 + length
-            change += np.bincount(start, minlength=len(change)).astype(np.int32)
-            change -= np.bincount(stop, minlength=len(change)).astype(np.int32)
+            starts.append(first[at] + np.frombuffer(o, np.uint8)[run])
+            stops.append(starts[-1] + np.frombuffer(w, np.uint8)[run] - 1 + length)
+    change = np.zeros(len(data) + 1, np.int32)
+    if starts:
+        np.add.at(change, np.concatenate(starts), 1)
+        np.add.at(change, np.concatenate(stops), -1)
     gone = np.cumsum(change[:-1]) > 0
     rows = []
     for doc_id, a, b in zip(ids, np.r_[0, ends[:-1]], ends, strict=True):
@@ -486,7 +489,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     chunks = _chunked(told.filter("_state = 'searched'"))
     total = chunks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, b: a + b))).first()[0] or 0
-    bits = min(24, max(6, int(np.ceil(np.log2(max(total, 1) ** 0.5 / 256)))))
+    bits = min(24, max(6, int(np.ceil(np.log2(max(total, 1) ** 0.5 / 64)))))
 
     flags = (
         _fingerprints(chunks, bits, length)
