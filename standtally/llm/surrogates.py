@@ -28,28 +28,37 @@ FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Madame|Mme|г-жа"
 TITLE = rf"(?:{MALE}|{FEMALE})\.?"
 NAME = r"\p{Lu}\p{L}{1,30}"
 
-MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}+\p{L}{2,24}"
+# Every form starts where no letter or digit stands before it.
+START = r"(?<![\p{L}\p{N}])"
+MAIL = r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}+\p{L}{2,24}"
 PHONE = (
-    r"(?<![\p{L}\p{N}])\+?\d{1,3}[ .-]?\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\p{N})"
+    r"\+?\d{1,3}[ .-]?\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\p{N})"
     r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\p{N})"
-    r"|(?<![\p{L}\p{N}])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\p{N})"
+    r"|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\p{N})"
 )
-SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])"
-IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?!\p{N})"
-CARD = r"(?<![\p{L}\p{N}])(?:(?:\d{4}[ -]){3}\d{4}|\d{13,19})(?![\p{L}\p{N}])"
-IPV4 = r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\p{N}|\.\d)"
+SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{N}-])"
+IBAN = r"[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?!\p{N})"
+CARD = r"(?:(?:\d{4}[ -]){3}\d{4}|\d{13,19})(?![\p{L}\p{N}])"
+IPV4 = r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\p{N}|\.\d)"
 TOKEN = (
-    r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}"
+    r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}"
     r"|sk-[0-9A-Za-z_-]{20,64})(?![\p{L}\p{N}])"
 )
-PERSON = (
-    rf"(?<![\p{{L}}\p{{N}}]){TITLE} {NAME}(?: (?={NAME}))?"
-    rf"|(?<={TITLE} {NAME} ){NAME}"
-)
+PERSON = rf"{TITLE} {NAME}(?: (?={NAME}))?"
+# The second of two names looks back at the form of address, after a cheap look at a blank.
+SECOND = rf"(?<=\p{{L}} ){NAME}(?<=(?:{TITLE}) {NAME} {NAME})"
 # Longer forms go first where two could start at one place.
-ENTITY = "|".join([MAIL, IBAN, TOKEN, CARD, PHONE, SSN, IPV4, PERSON])
-# No entity lacks all of these; most texts are passed by on it.
-HINT = rf"[0-9@]|(?:{MALE}|{FEMALE})"
+ENTITY = rf"{START}(?:{'|'.join([MAIL, IBAN, TOKEN, CARD, PHONE, SSN, IPV4, PERSON])})|{SECOND}"
+# No entity lacks all of these; most texts are passed by on them.
+TITLE_HINTS = ("Mr", "Ms", "Miss", "Mme", "Herr", "Frau", "Señor", "Monsieur", "Madame", "г-")
+
+
+def may_hold_entities(text: Column) -> Column:
+    hint = text.rlike("[0-9@]")
+    for title in TITLE_HINTS:
+        hint = hint | text.contains(title)
+    return hint
+
 
 # Sixteen letters of each script that surrogates are spelt with.
 LATIN = "aeioulnrstmdkbpv"
@@ -270,7 +279,7 @@ def replace_entities(docs: DataFrame, key: str = "standtally") -> DataFrame:
     finished list of a text comes back to the rows that hold it.
     """
     given = [c for c in docs.columns if c != "pii"]
-    dirty_text = F.col("text").rlike(HINT) & F.col("text").rlike(ENTITY)
+    dirty_text = may_hold_entities(F.col("text")) & F.col("text").rlike(ENTITY)
     none = F.struct(F.lit(0).cast("bigint").alias("n_entities"), F.lit("").alias("kinds"))
     clean = docs.filter(~F.coalesce(dirty_text, F.lit(False))).select(
         *[f"`{c}`" for c in given], none.alias("pii")
