@@ -245,19 +245,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Tre
         for batch in batches:
             x = matrix(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"]
+                [batch.column(0), pa.array([row.tobytes() for row in x], pa.binary())], names=["label", "x"]
             )
 
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")
         .select(F.col("_label").alias("label"), "text")
-        .mapInArrow(numbers, "label double, x array<double>")
-        .toPandas()
+        .mapInArrow(numbers, "label double, x binary")
+        .toArrow()
     )
     if not len(rows):
         return constant(1.0)
-    x, y = np.array(rows["x"].tolist()), rows["label"].to_numpy()
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float64).reshape(-1, len(FEATURES))
+    y = rows["label"].to_numpy()
     order = np.lexsort((*x.T[::-1], y))  # the order of arrival varies between runs
     return fit(x[order], y[order])
 
