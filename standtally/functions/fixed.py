@@ -3,9 +3,6 @@
 # Text printed for a missing value when pasting strings together.
 MISSING_TEXT = "NA"
 
-# Text that stands for a missing number in mixed text/number columns.
-NULL_TOKEN = "NULL"
-
 # Prefix of the public plot key.
 KEY_PREFIX = "INFYS"
 

@@ -44,9 +44,23 @@ def sub_first(c: ColumnOrName, literal: str, replacement: str) -> Column:
     return F.regexp_replace(as_col(c), pattern, "$1" + safe)
 
 
+# A whole number of units that a sum can hold 10**10 times over; larger ones count as missing.
+UNITS = "decimal(28,0)"
+
+
 def fixed_point(c: ColumnOrName, digits: int) -> Column:
-    """A measurement (0 or more) as a whole number of 10**-digits, half up."""
-    return F.floor(as_col(c) * float(10**digits) + 0.5)
+    """A measurement (0 or more) as a whole number of 10**-digits, half up, as a double.
+
+    An undefined or infinite measurement is missing. The value never leaves the doubles,
+    so it is not limited by the range of a whole-number type.
+    """
+    units = as_col(c) * float(10**digits) + 0.5
+    return F.when(F.abs(units) < float("inf"), units - F.pmod(units, F.lit(1.0)))
+
+
+def units(c: ColumnOrName, digits: int) -> Column:
+    """As ``fixed_point``, in the type that is summed: order does not matter to its sums."""
+    return fixed_point(c, digits).try_cast(UNITS)
 
 
 def round_half_up(c: ColumnOrName, digits: int) -> Column:
@@ -56,7 +70,7 @@ def round_half_up(c: ColumnOrName, digits: int) -> Column:
 
 def sum_fixed(c: ColumnOrName, digits: int = 2) -> Column:
     """Sum in whole units of 10**-digits; 0 when every value is missing."""
-    return F.coalesce(F.sum(fixed_point(c, digits)), F.lit(0).cast("bigint"))
+    return F.coalesce(F.sum(units(c, digits)), F.lit(0))
 
 
 def mean_from_sums(total: Column, n: Column, digits: int, scale: int) -> Column:
@@ -66,19 +80,15 @@ def mean_from_sums(total: Column, n: Column, digits: int, scale: int) -> Column:
 
 
 def exact_mean(c: ColumnOrName, scale: int = 9) -> Column:
-    """Mean that skips missing values and does not depend on row order."""
-    total = F.sum(fixed_point(c, scale)).cast("double")
-    return F.try_divide(total, F.count(as_col(c)) * float(10**scale))
+    """Mean that skips missing and undefined values and does not depend on row order."""
+    value = units(c, scale)
+    return F.try_divide(F.sum(value).cast("double"), F.count(value) * float(10**scale))
 
 
 def rounded_mean(c: ColumnOrName, digits: int = 2, scale: int = 4) -> Column:
-    """Mean that skips missing values, rounded half up; null when none is present."""
-    return mean_from_sums(F.sum(fixed_point(c, scale)), F.count(as_col(c)), digits, scale)
-
-
-def strict_rounded_mean(c: ColumnOrName, digits: int = 2, scale: int = 4) -> Column:
-    """As ``rounded_mean``, but null as soon as one value is missing."""
-    return F.when(F.count(as_col(c)) == F.count(F.lit(1)), rounded_mean(c, digits, scale))
+    """Mean over values kept to ``scale`` decimals, rounded half up; null when none is present."""
+    value = units(c, scale)
+    return mean_from_sums(F.sum(value), F.count(value), digits, scale)
 
 
 def count_distinct_na(c: ColumnOrName) -> Column:

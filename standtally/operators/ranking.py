@@ -58,7 +58,9 @@ def dense_rank_keys(
     if not within:
         return placed.select(order, (F.col("_global") + 1).alias(out))
     firsts = placed.groupBy(*within).agg(F.min("_global").alias("_first"))
-    return placed.join(broadcast_if_small(firsts), list(within)).select(
+    group = firsts.toDF(*[f"_{c}" for c in within], "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within]
+    return placed.join(broadcast_if_small(group), same).select(
         *columns, (F.col("_global") - F.col("_first") + 1).alias(out)
     )
 

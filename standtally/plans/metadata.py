@@ -14,6 +14,8 @@ from standtally.operators.lookup import first_per_key, lookup_first
 REGISTRY = ["tenencia", "anio"]
 IMPACT = ["causa"]
 FIRE = ["anio_incendio", "tipo_incendio"]
+# Three row counts of one plot multiply to more than a whole-number type may hold.
+TIMES = "decimal(38,0)"
 
 
 def _variants(df: DataFrame, columns: list[str], count: str) -> DataFrame:
@@ -33,9 +35,9 @@ def disturbance_full_join(registry: DataFrame, impacts: DataFrame, fires: DataFr
         _variants(fires, FIRE, "_fires"), "source_code", "full"
     )
     joined = _variants(registry, REGISTRY, "_registry").join(disturbed, "source_code", "full")
-    times = F.lit(1)
+    times = F.lit(1).cast(TIMES)
     for count in ("_registry", "_impacts", "_fires"):
-        times = times * F.coalesce(F.col(count), F.lit(1))
+        times = (times * F.coalesce(F.col(count), F.lit(1)).cast("decimal(18,0)")).cast(TIMES)
     return joined.select("source_code", *REGISTRY, *IMPACT, *FIRE, times.alias("n_rows"))
 
 

@@ -9,16 +9,17 @@ from standtally.functions import fixed
 from standtally.functions.allometry import per_hectare, plot_area_ha
 from standtally.functions.semantics import (
     count_distinct_na,
-    fixed_point,
     mean_from_sums,
     rounded_mean,
     sum_fixed,
+    units,
 )
 from standtally.plans.spec import CensusSpec
 
-# Means of ages and heights keep 4 decimals of each value; reported biomass keeps 6.
+# Means of ages and heights keep 4 decimals of each value; reported biomass keeps 6. Values
+# that are undefined, or too large for the types that are summed, count as missing.
 MEAN_SCALE = 4
-REPORTED_DECIMAL = "decimal(38,6)"
+REPORTED_DECIMAL = "decimal(28,6)"
 
 
 def first_place() -> Column:
@@ -62,18 +63,18 @@ def _rollup(trees: DataFrame, spec: CensusSpec, coordinates: bool) -> DataFrame:
     keys = ["source_code", *spec.labels, "census_date", *spec.group_extra]
     place = ["subplot", "lat", "long"] if coordinates else ["subplot"]
     subplots = trees.groupBy(*keys, *place).agg(
-        F.sum(fixed_point("agb_tree_kg", 2)).alias("_kg"),
-        F.sum(fixed_point("stand_age", MEAN_SCALE)).alias("_age"),
-        F.count("stand_age").alias("_ages"),
-        F.sum(fixed_point("height", MEAN_SCALE)).alias("_height"),
-        F.count("height").alias("_heights"),
+        F.sum(units("agb_tree_kg", 2)).alias("_kg"),
+        F.sum(units("stand_age", MEAN_SCALE)).alias("_age"),
+        F.count(units("stand_age", MEAN_SCALE)).alias("_ages"),
+        F.sum(units("height", MEAN_SCALE)).alias("_height"),
+        F.count(units("height", MEAN_SCALE)).alias("_heights"),
         *([F.min("tag_number").alias("_tag")] if coordinates else []),
     )
 
     def mean(total: str, n: str) -> Column:
         return mean_from_sums(F.sum(total), F.sum(n), 2, MEAN_SCALE)
 
-    kg100 = F.coalesce(F.sum("_kg"), F.lit(0))
+    kg100 = F.coalesce(F.sum("_kg"), F.lit(0)).cast("double")
     # Without places every subplot is one row already, a missing one included.
     n = count_distinct_na("subplot") if coordinates else F.count(F.lit(1))
     return (
@@ -105,10 +106,9 @@ def _rollup_all_subplots(trees: DataFrame, spec: CensusSpec) -> DataFrame:
     measured = trees.filter(F.col("diameter").isNotNull())
     sums = measured.groupBy(*keys).agg(
         sum_fixed("agb_tree_kg", 2).alias("_kg100"),
-        F.coalesce(F.sum(F.col("agb2_tree_kg").cast(REPORTED_DECIMAL)),
-                   F.lit(0).cast(REPORTED_DECIMAL)).alias("_kg2"),
-        F.sum(fixed_point("stand_age", MEAN_SCALE)).alias("_age"),
-        F.count("stand_age").alias("_ages"),
+        F.coalesce(F.sum(F.col("agb2_tree_kg").try_cast(REPORTED_DECIMAL)), F.lit(0)).alias("_kg2"),
+        F.sum(units("stand_age", MEAN_SCALE)).alias("_age"),
+        F.count(units("stand_age", MEAN_SCALE)).alias("_ages"),
         F.count(F.lit(1)).alias("_rows"),
         rounded_mean("height", 2, MEAN_SCALE).alias("height"),
     )
@@ -122,7 +122,7 @@ def _rollup_all_subplots(trees: DataFrame, spec: CensusSpec) -> DataFrame:
         .select(
             *keys,
             "subplot_count",
-            (F.col("_kg100") / 1e5).alias("agb_plot"),
+            (F.col("_kg100").cast("double") / 1e5).alias("agb_plot"),
             (kg2 / 1000.0).alias("agb2_plot"),
             age.alias("stand_age"),
             "height",

@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A broadcast side is at most this many rows of a few short columns (tens of MB).
+# A broadcast side has at most this many rows and about this many bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
+
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary folder only in local mode."""
+    """The cluster's checkpoint folder; where it is unset and the session is local, one
+    temporary folder per application, which goes when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="standtally-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _LOCAL_ROOTS:
+        root = tempfile.mkdtemp(prefix="standtally-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        _LOCAL_ROOTS[context.applicationId] = root
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -54,9 +63,25 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: eight per column, plus texts and elements."""
+    size = F.lit(8 * len(df.columns)).cast("bigint")
+    for field in df.schema.fields:
+        column = F.col("`" + field.name.replace("`", "``") + "`")
+        if isinstance(field.dataType, T.StringType | T.BinaryType):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType | T.MapType):
+            size = size + 16 * F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0))
+    return size
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``max_rows`` rows; counts no further than that."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+    """Whether a table is small enough to be sent to every executor, by rows and by bytes.
+
+    Every task sends two numbers, so asking is cheap however large the table is.
+    """
+    rows, size = df.agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    return rows <= max_rows and (size or 0) <= BROADCAST_BYTES
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

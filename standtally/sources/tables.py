@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,39 +37,54 @@ def canonical_columns(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def source_names(df: DataFrame) -> dict[str, str]:
-    """Canonical name to source name."""
-    return {f.name: f.metadata.get("source_name", f.name) for f in df.schema.fields}
-
-
 def rename_by_pattern(df: DataFrame, pattern: str, replacement: str) -> DataFrame:
     """Rename every column through a regular expression."""
     return df.toDF(*[re.sub(pattern, replacement, c) for c in df.columns])
 
 
+def _header(spark: SparkSession, path: str, options: dict) -> list[str]:
+    """Column names of a CSV file, or of the first file of a folder, as written."""
+    first = spark.read.csv(path, header=False, **options).limit(1).first()
+    return [] if first is None else [v or "" for v in first]
+
+
 def read_inventory_csv(
     spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False
 ) -> DataFrame:
-    """Header CSV with a declared schema; ``NA`` is missing, a blank text stays blank.
+    """Header CSV; the declared columns are found by name, wherever they stand.
 
-    Rows that do not fit the schema keep what parses; ``keep_corrupt`` adds the raw line.
+    Other columns are passed over. Of columns with one name the first counts; a declared
+    column that the file lacks is an error. ``NA`` is missing, a blank text stays blank, and
+    a value that is not of its declared type is missing; ``keep_corrupt`` adds the values of
+    such a row as one text. All files of a folder have the same header.
     """
-    wanted = T.StructType(list(schema.fields))
+    options = {"emptyValue": "", "multiLine": False, "quote": '"', "escape": '"'}
+    header = _header(spark, path, options)
+    places = {}
+    for place, name in enumerate(header):
+        places.setdefault(name.lstrip("\ufeff"), place)
+    absent = [f.name for f in schema.fields if f.name not in places]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    texts = T.StructType([T.StructField(f"_{k}", T.StringType()) for k in range(len(header))])
+    read = spark.read.csv(path, schema=texts, header=True, enforceSchema=True, **options)
+
+    def given(field: T.StructField) -> Column:
+        # The reader takes a blank without quotes for a missing value; here only NA is one.
+        return F.nullif(F.coalesce(F.col(f"_{places[field.name]}"), F.lit("")), F.lit("NA"))
+
+    def typed(field: T.StructField) -> Column:
+        text = given(field)
+        return text if isinstance(field.dataType, T.StringType) else F.trim(text).try_cast(field.dataType)
+
+    columns = [typed(f).alias(f.name) for f in schema.fields]
     if keep_corrupt:
-        wanted = wanted.add(CORRUPT, T.StringType())
-    return spark.read.csv(
-        path,
-        schema=wanted,
-        header=True,
-        nullValue="NA",
-        emptyValue="",
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord=CORRUPT,
-        enforceSchema=True,
-        multiLine=False,
-        quote='"',
-        escape='"',
-    )
+        bad = F.lit(False)
+        for f in schema.fields:
+            bad = bad | (typed(f).isNull() & F.coalesce(F.trim(given(f)) != "", F.lit(False)))
+        values = [F.coalesce(F.col(c), F.lit("")) for c in texts.names]
+        columns.append(F.when(bad, F.concat_ws(",", *values)).alias(CORRUPT))
+    return read.select(*columns)
 
 
 def write_table(

@@ -224,11 +224,24 @@ def test_null_aware_aggregates(spark):
     row = df.agg(
         S.count_distinct_na("s"),
         S.rounded_mean("a"),
-        S.strict_rounded_mean("a"),
         S.sum_fixed(F.when(F.col("s") > 5, F.col("a"))),
         S.rounded_mean(F.when(F.col("s") > 5, F.col("a"))),
     ).collect()[0]
-    assert list(row) == [3, 10.0, None, 0, None]
+    assert list(row) == [3, 10.0, 0, None]
+
+
+def test_undefined_and_huge_measurements(spark):
+    """Undefined values are missing, not 0; nothing stops at the range of a whole number."""
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(v,) for v in (nan, inf, -inf, 1e18, 2.5, None, 1e300)], "a double")
+    got = [r[0] for r in df.select(S.round_half_up("a", 2)).collect()]
+    assert got == [None, None, None, 1e18, 2.5, None, 1e300]
+    row = df.agg(S.sum_fixed("a", 2), S.rounded_mean("a"), S.exact_mean("a")).first()
+    assert int(row[0]) == 10**20 + 250 and row[1] == row[2] == pytest.approx(5e17)
+    many = spark.range(30_000).select(F.lit(0.0673 * (0.5 * 9999993.0**2 * 20) ** 0.976).alias("kg"))
+    assert float(many.agg(S.sum_fixed("kg", 2)).first()[0]) > 8e19
+    negative = spark.range(1).select(S.round_half_up(A.agb_chave_016(F.lit(10.0), F.lit(0.5), F.lit(-1.0)), 2))
+    assert negative.first()[0] is None
 
 
 def test_distinct_concat(spark):

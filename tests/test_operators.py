@@ -358,13 +358,39 @@ def test_csv_keeps_what_parses(spark, tmp_path):
     assert [r[tables.CORRUPT] for r in got] == [None, "nope,x,y"]
 
 
+def test_csv_binds_by_header_name(spark, tmp_path):
+    text = "Folio,Causa,Conglomerado,Nota,Estado,Causa\n77,Plagas,1,n,Jalisco,otra\n78,NA, 2 ,,,x\n79,,x1,,NA,y\n"
+    (tmp_path / "wide.csv").write_text(text)
+    got = tables.read_inventory_csv(spark, str(tmp_path / "wide.csv"), schema_of("impacts"))
+    assert got.columns == ["Conglomerado", "Estado", "Causa"]
+    assert rows(got) == rows(
+        spark.createDataFrame([(1, "Jalisco", "Plagas"), (2, "", None), (None, None, "")], schema_of("impacts"))
+    )
+    (tmp_path / "narrow.csv").write_text("Conglomerado,Causa\n1,x\n")
+    with pytest.raises(ValueError, match="Estado"):
+        tables.read_inventory_csv(spark, str(tmp_path / "narrow.csv"), schema_of("impacts"))
+
+
+def test_full_join_counts_beyond_whole_numbers(spark):
+    n = 3_000_000
+    key = F.lit("NA_NA").alias("source_code")
+    text = lambda *names: [F.lit("v").alias(c) for c in names]
+    many = spark.range(n)
+    joined = metadata.disturbance_full_join(
+        many.select(key, *text("tenencia"), F.lit(2004).alias("anio")),
+        many.select(key, *text("causa")),
+        many.select(key, *text("anio_incendio", "tipo_incendio")),
+    ).collect()
+    assert [int(r.n_rows) for r in joined] == [n**3]
+
+
 def test_canonical_names(spark):
     names = ["UPMID SITE CODE", "BASIC WOOD DENSITY (g/cm3)", "NombreCientifico_APG_C3", "IDConglomerado"]
     df = tables.canonical_columns(spark.createDataFrame([(1, 0.5, "a", 2)], names))
     assert df.columns == [
         "upmid_site_code", "basic_wood_density_g_cm3", "nombre_cientifico_apg_c3", "id_conglomerado",
     ]
-    assert tables.source_names(df)["upmid_site_code"] == "UPMID SITE CODE"
+    assert df.schema["upmid_site_code"].metadata == {"source_name": "UPMID SITE CODE"}
     twice = spark.createDataFrame([(1, 2)], ["a b", "A_B"])
     assert tables.canonical_columns(twice).columns == ["a_b", "a_b_2"]
 
@@ -383,3 +409,5 @@ def test_rename_by_pattern(spark):
 def test_size_check(spark):
     assert staging.fits_broadcast(spark.range(10), 10)
     assert not staging.fits_broadcast(spark.range(11), 10)
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 8_000_000).alias("t"))
+    assert not staging.fits_broadcast(wide, 10)
