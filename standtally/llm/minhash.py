@@ -162,68 +162,44 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc_id, set) of the wanted documents, staged; the set as bytes of sorted hashes."""
+    """(doc_id, set) of the wanted documents, staged; the set as an array of its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                few = batch.slice(at, 200)
-                sets = [shingle_set(t or "", size).tobytes() for t in few.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [few.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"]
-                )
+            for at in range(0, batch.num_rows, 100):
+                few = batch.slice(at, 100)
+                sets = [shingle_set(t or "", size).view(np.int64) for t in few.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([few.column(0), listed], names=["doc_id", "set"])
 
     read = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(
         broadcast_if_small(wanted), "doc_id", "left_semi"
     )
-    return stage(read.mapInArrow(run, "doc_id bigint, set binary").dropDuplicates(["doc_id"]), "full-sets")
+    return stage(read.mapInArrow(run, "doc_id bigint, set array<bigint>").dropDuplicates(["doc_id"]), "full-sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x = np.frombuffer(a.as_buffer(), np.uint64)
-                y = np.frombuffer(b.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            few = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            yield few
-
+    """The pairs (u, v) whose full sets are similar enough; a task holds one pair of sets at a time."""
     with_u = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("set_u")), "u")
     with_v = with_u.join(sets.select(F.col("doc_id").alias("v"), F.col("set").alias("set_v")), "v")
-    return with_v.select("u", "v", "set_u", "set_v").mapInArrow(run, "u bigint, v bigint")
+    both = F.size("set_u").cast("bigint") + F.size("set_v")
+    shared = F.size(F.array_intersect("set_u", "set_v")).cast("bigint")
+    return with_v.filter((100 + percent) * shared >= percent * both).select("u", "v")
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
     """(doc_id, n_shared): how many shingles of each set occur in any other of the sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                few = batch.slice(at, 200)
-                each = [np.frombuffer(s.as_buffer(), np.int64) for s in few.column(1)]
-                owner = np.repeat(few.column(0).to_numpy(), [len(s) for s in each])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(owner, pa.int64()), pa.array(np.concatenate(each), pa.int64())],
-                    names=["doc_id", "shingle"],
-                )
-
     single = (
-        sets.select("doc_id", "set")
-        .mapInArrow(run, "doc_id bigint, shingle bigint")
+        sets.select("doc_id", F.explode("set").alias("shingle"))
         .groupBy("shingle")
         .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("owners"))
         .filter("owners = 1")
         .groupBy("doc_id")
         .agg(F.count("*").alias("alone"))
     )
-    size = F.floor(F.octet_length("set") / 8)
     return sets.join(single, "doc_id", "left").select(
-        "doc_id", (size - F.coalesce("alone", F.lit(0))).alias("n_shared")
+        "doc_id", (F.size("set") - F.coalesce("alone", F.lit(0))).alias("n_shared")
     )
 
 
