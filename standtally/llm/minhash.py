@@ -5,9 +5,10 @@ only a class's first document goes on. Minima of many universal hash functions a
 bands; documents that agree in a band are candidates. Of each bucket of candidates, all are
 first held against the member that shares most buckets: copies of one original need no more,
 however many they are. Members that this leaves in another component are then held against
-the rest of their bucket, unless a link is ruled out: by the sizes, by the signatures, or by
-the shingles that a member shares with no other one, which bound what it can share with any.
-Links are confirmed on full sets.
+the rest, unless a link is ruled out: by the sizes, by the signatures, by the shingles that a
+member shares with no other one, or as the two share none of their rarest shingles, of which
+similar sets must have one in common. None of these bounds loses a link between members that
+the buckets bring together. Links are confirmed on full sets.
 
 With 40 bands of 5 minima a pair of similarity 0.8 goes unseen with probability 1e-7. The
 signature keeps one bit of each of the 200 minima; a pair of similarity 0.8 differs in 20
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from standtally.llm.components import components
@@ -203,6 +204,30 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
     )
 
 
+def rarest_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, shingle, place): of each set the rarest shingles that any other set holds.
+
+    Places count all shingles by rising number of owners. Two similar sets of n and m
+    shingles share at least ``_least_shared`` of them, so one of those they share stands
+    among the first n - least + 1 places of the one and the first m - least + 1 of the other.
+    """
+    tokens = sets.select("doc_id", F.size("set").cast("bigint").alias("n"), F.explode("set").alias("shingle"))
+    owners = tokens.groupBy("shingle").agg(F.count("*").alias("owners"))
+    by_rarity = Window.partitionBy("doc_id").orderBy("owners", "shingle")
+    return (
+        tokens.join(owners, "shingle")
+        .withColumn("place", F.row_number().over(by_rarity))
+        # The smallest similar set has percent of n shingles, all of them shared.
+        .filter((F.col("owners") > 1) & (100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")))
+        .select("doc_id", "n", "shingle", "place")
+    )
+
+
+def _least_shared(n: Column, m: Column, percent: int) -> Column:
+    """How many shingles similar sets of n and m share at least."""
+    return F.ceil(percent * (n + m) / F.lit(100 + percent))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of ``docs``."""
     sketches = sketch(docs, size)
@@ -258,27 +283,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     placed = stage(
         open_rows.join(bounds.withColumnRenamed("doc_id", "rep"), "rep")
         .filter(100 * shared_most >= percent * (n + F.greatest("least_n", shared_most) - shared_most))
-        .join(sizes.select("rep", "bits"), "rep"),
+        .join(sizes.select("rep", "bits"), "rep")
+        .select("bucket", "rep", "root", "bits"),
         "placed",
     )
     heads = open_rows.select("bucket", F.col("rep").alias("leader"), F.col("root").alias("leader_root"))
-    apart = (
+    apart = stage(
         placed.join(leaders.join(heads, ["bucket", "leader"]), "bucket")
         .filter("root <> leader_root")
-        .select("bucket", *[F.col(c).alias(f"{c}_u") for c in ("rep", "root", "n_shingles", "n_shared", "bits")])
+        .select("bucket", "rep", "root"),
+        "apart",
+    )
+    near_apart = placed.join(apart.select("bucket").distinct(), "bucket", "left_semi")
+    rare = rarest_shingles(
+        sets.join(near_apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), percent
+    )
+    rare = stage(
+        rare.withColumnRenamed("doc_id", "rep").join(placed.select("rep", "root", "bits").dropDuplicates(["rep"]), "rep"),
+        "rare",
+    )
+    alone = rare.join(apart.select("rep").distinct(), "rep", "left_semi").select(
+        "shingle", *[F.col(c).alias(f"{c}_u") for c in ("rep", "root", "n", "place", "bits")]
     )
-    most = F.least("n_shared", "n_shared_u")
+    least = _least_shared(F.col("n_u"), F.col("n"), percent)
     differing = sum(
         (F.bit_count(F.col("bits_u")[k].bitwiseXOR(F.col("bits")[k])) for k in range(-(-BANDS * ROWS // 64))),
         F.lit(0),
     )
     second = (
-        apart.join(placed, "bucket")
-        .filter(
-            (F.col("root_u") != F.col("root"))
-            & (100 * F.least("n_shingles", "n_shingles_u") >= percent * F.greatest("n_shingles", "n_shingles_u"))
-            & (100 * most >= percent * (F.col("n_shingles") + F.col("n_shingles_u") - most))
-            & (differing <= MAX_BITS)
+        alone.join(
+            rare.withColumnRenamed("shingle", "_shingle"),
+            (F.col("shingle") == F.col("_shingle"))
+            & (F.col("root_u") != F.col("root"))
+            & (F.col("place_u") <= F.col("n_u") - least + 1)
+            & (F.col("place") <= F.col("n") - least + 1)
+            & (differing <= MAX_BITS),
         )
         .select(F.least("rep", "rep_u").alias("u"), F.greatest("rep", "rep_u").alias("v"))
         .distinct()

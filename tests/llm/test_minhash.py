@@ -106,3 +106,41 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)]
     got = components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
     assert sorted((r.node, r.root) for r in got) == [(i, 0) for i in range(301)]
+
+
+def test_rarest_shingles_hold_one_of_every_similar_pair(spark):
+    """Sets over few shingles, so that most are frequent: no similar pair goes unseen."""
+    rng = random.Random(11)
+    sets = [frozenset(rng.sample(range(26), rng.randrange(8, 24))) for _ in range(40)]
+    sets += [x - {min(x)} for x in sets[:20]] + [x | {30} for x in sets[10:30]]
+    rows = [(i, sorted(x)) for i, x in enumerate(sets)]
+    got = minhash.rarest_shingles(spark.createDataFrame(rows, "doc_id bigint, `set` array<bigint>"), 80)
+    held = {}
+    for r in got.collect():
+        held.setdefault(r.shingle, []).append((r.doc_id, r.n, r.place))
+    seen = set()
+    for owners in held.values():
+        for i, n, a in owners:
+            for j, m, b in owners:
+                least = -(-80 * (n + m) // 180)
+                if i < j and a <= n - least + 1 and b <= m - least + 1:
+                    seen.add((i, j))
+    similar = {
+        (i, j)
+        for j, y in enumerate(sets)
+        for i, x in enumerate(sets[:j])
+        if 100 * len(x & y) >= 80 * len(x | y)
+    }
+    assert similar and similar <= seen
+
+
+def test_hot_group_past_the_threshold(spark):
+    """Many copies too far from their original share buckets; the few links among them stay."""
+    rng = random.Random(12)
+    base = words(rng, 200, 10**6)
+    texts = [base] + [edited(rng, base, 13) for _ in range(150)]
+    texts += [edited(rng, t, 1) for t in texts[1:150:10]]
+    sets, want = plain(texts, 4)
+    assert len(set(want.values())) > 100
+    rows = minhash.near_duplicates(simple(spark, texts), 4).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want
