@@ -32,3 +32,20 @@ def unit_interval(hashed: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_many_to_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``many`` with the columns of ``one``, which holds each key once; many rows may share one.
+
+    Keys that hold over a thousandth of the rows are fewer than a thousand: their rows of
+    ``one`` are broadcast, and only rows of other keys are shuffled. ``many`` is read three
+    times, so pass a staged table. A null in a key finds nothing.
+    """
+    per_key = many.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    least = many.count() // 1000 + 1
+    hot = F.broadcast(per_key.filter(F.col("_rows") > least).select(*keys, F.lit(True).alias("_hot")))
+    marked = many.join(hot, keys, "left")
+    few = one.join(hot, keys, "left_semi")
+    return marked.filter("_hot").join(F.broadcast(few), keys, how).unionByName(
+        marked.filter("_hot is null").join(one, keys, how)
+    ).drop("_hot")

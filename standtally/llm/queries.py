@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standtally.llm import cap_filters, licenses, minhash, mixing, order_minhash, packing, quality, suffix_dedup, surrogates, url_lists
+from standtally.llm import cap_filters, licenses, minhash, mixing, order_minhash, packing, prefix_trie, quality, suffix_dedup, surrogates, url_lists
 from standtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,11 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie over all rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 OP3_SQL = """
 WITH parts AS (
   SELECT page_id, url,
@@ -156,6 +161,43 @@ FROM parts p LEFT JOIN verdicts v ON v.url = p.url AND v.fetched_on = p.fetched_
 """
 
 
+# The checksum by shifts: one byte of the number at a time, eight steps a byte.
+OP11_SQL = """
+WITH RECURSIVE bits AS (SELECT i AS b, i::BIGINT AS r, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT b, CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END, step + 1 FROM bits WHERE step < 8),
+crc AS (SELECT list(r ORDER BY b) AS byte FROM bits WHERE step = 8),
+turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 20 AS base, xor(list_reduce(list_concat([4294967295::BIGINT],
+      [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]),
+      lambda a, x: xor(a // 256, byte[xor(a, x) % 256 + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM turns), crc),
+rebuilt AS (SELECT convs.c, pos, role, text FROM convs JOIN turns ON turns.c = convs.base AND pos <= h
+  UNION ALL SELECT convs.c, pos, role, text FROM convs JOIN turns ON turns.c = convs.c AND pos > h),
+rows AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS depth, {'r': role, 't': text} AS turn FROM rebuilt),
+lists AS (SELECT convs.c, coalesce(list(turn ORDER BY depth) FILTER (depth IS NOT NULL), []) AS path
+  FROM convs LEFT JOIN rows ON rows.c = convs.c GROUP BY 1),
+prefixes AS (SELECT c, d AS depth, len(path) = d AS ends, path[:d] AS path
+  FROM lists, LATERAL (SELECT unnest(range(len(path) + 1)) AS d)),
+nodes AS (SELECT depth, path, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY 1, 2),
+kids AS (SELECT depth - 1 AS depth, path[:depth - 1] AS path, count(*) AS n_children
+  FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+sized AS (SELECT n.*, p.conv_id AS parent_conv_id, coalesce(n_children, 0) AS n_children,
+    CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1)
+      * len(regexp_extract_all(n.path[n.depth].t, '[^\\x20\\x09-\\x0D]+')) END AS own
+  FROM nodes n LEFT JOIN kids k ON k.depth = n.depth AND k.path = n.path
+  LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]),
+sums AS (SELECT d AS depth, path[:d] AS path, sum(own) AS saved_tokens, sum((n_children = 0)::BIGINT) AS n_leaves
+  FROM sized, LATERAL (SELECT unnest(range(sized.depth + 1)) AS d) GROUP BY 1, 2)
+SELECT conv_id, sized.depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM sized JOIN sums ON sums.depth = sized.depth AND sums.path = sized.path
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
@@ -168,8 +210,9 @@ def queries() -> dict[str, Query]:
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "op11_conversation_trie": op11_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3_SQL}
+    return {"op3_url_filters": OP3_SQL, "op11_conversation_trie": OP11_SQL}
