@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standtally.llm import cap_filters, licenses, minhash, mixing, order_minhash, packing, prefix_trie, quality, suffix_dedup, surrogates, url_lists
+from standtally.llm import cap_filters, collocations, licenses, minhash, mixing, order_minhash, packing, prefix_trie, quality, suffix_dedup, surrogates, url_lists
 from standtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,13 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language, by their weakest cut."""
+    return collocations.collocations(table(spark, sf_dir, "documents")).select(
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score"
+    )
+
+
 OP3_SQL = """
 WITH parts AS (
   SELECT page_id, url,
@@ -198,6 +205,37 @@ FROM sized JOIN sums ON sums.depth = sized.depth AND sums.path = sized.path
 """
 
 
+OP12_SQL = """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY 1),
+tokens AS (SELECT lang, id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM words),
+runs AS (SELECT lang, t, lead(t, 1) OVER o AS t2, lead(t, 2) OVER o AS t3, lead(t, 3) OVER o AS t4
+  FROM tokens WINDOW o AS (PARTITION BY id ORDER BY i)),
+phrases AS (SELECT lang, t AS p FROM runs UNION ALL SELECT lang, t || ' ' || t2 FROM runs WHERE t2 IS NOT NULL
+  UNION ALL SELECT lang, t || ' ' || t2 || ' ' || t3 FROM runs WHERE t3 IS NOT NULL
+  UNION ALL SELECT lang, t || ' ' || t2 || ' ' || t3 || ' ' || t4 FROM runs WHERE t4 IS NOT NULL),
+counts AS (SELECT lang, string_split(p, ' ') AS p, f FROM
+  (SELECT lang, p, count(*) AS f FROM phrases GROUP BY 1, 2 HAVING count(*) >= 30)),
+candidates AS (SELECT lang, p, f AS a FROM counts WHERE len(p) > 1),
+cuts AS (SELECT c.lang, c.p, c.a, k, x.f AS l, y.f AS r,
+    (2000000::HUGEINT * c.a // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM candidates) c
+  JOIN counts x ON x.lang = c.lang AND x.p = c.p[:k] JOIN counts y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_phrases AS (SELECT lang, p[s:s + m - 1] AS p, a FROM candidates, (SELECT unnest(range(2, 4)) AS m),
+    (SELECT unnest(range(1, 4)) AS s) WHERE m < len(p) AND s + m - 1 <= len(p)),
+longer AS (SELECT lang, p, max(a) AS longer FROM inner_phrases GROUP BY 1, 2),
+ranked AS (SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, array_to_string(w.p, ' ')) AS rank,
+    array_to_string(w.p, ' ') AS phrase, a, l, r, score
+  FROM weakest w LEFT JOIN longer g ON g.lang = w.lang AND g.p = w.p
+  WHERE g.longer IS NULL OR 100::HUGEINT * g.longer < 80::HUGEINT * a)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
@@ -211,8 +249,13 @@ def queries() -> dict[str, Query]:
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
         "op11_conversation_trie": op11_conversation_trie,
+        "op12_phrase_collocations": op12_phrase_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3_SQL, "op11_conversation_trie": OP11_SQL}
+    return {
+        "op3_url_filters": OP3_SQL,
+        "op11_conversation_trie": OP11_SQL,
+        "op12_phrase_collocations": OP12_SQL,
+    }
