@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standtally.llm import cap_filters, collocations, licenses, minhash, mixing, order_minhash, packing, prefix_trie, quality, suffix_dedup, surrogates, url_lists
+from standtally.llm import cap_filters, collocations, language_model, licenses, minhash, mixing, order_minhash, packing, prefix_trie, quality, suffix_dedup, surrogates, url_lists
 from standtally.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,11 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under the words' counts and under the model."""
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH parts AS (
   SELECT page_id, url,
@@ -250,6 +255,7 @@ def queries() -> dict[str, Query]:
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
         "op11_conversation_trie": op11_conversation_trie,
         "op12_phrase_collocations": op12_phrase_collocations,
+        "op13_lm_scoring": op13_lm_scoring,
     }
 
 
