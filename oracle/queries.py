@@ -155,8 +155,11 @@ _RAW_SQL = {
         round(wood_density, 6) AS wood_density, level_wd FROM dense WHERE census = 1""",
     "wood_density_cascade_c3": """SELECT source_code, tag AS tag_number, subplot, full_species, family,
         round(wood_density, 6) AS wood_density, level_wd FROM dense WHERE census = 3""",
-    "global_wood_density": """SELECT source_code, tag AS tag_number, subplot, full_species, family,
-        round(global_wd, 6) AS global_wd, global_level FROM global_found WHERE census = 2""",
+    "wood_density_cascade_c2": """SELECT source_code, tag AS tag_number, subplot, full_species, family,
+        round(wood_density, 6) AS wood_density, level_wd FROM dense WHERE census = 2""",
+    "global_wood_density": """SELECT census, source_code, tag AS tag_number, subplot, full_species, family,
+        round(global_wd, 6) AS global_wd, global_level FROM global_found""",
+    "name_densities": """SELECT census, name, round(wd, 6) AS global_wd, level AS global_level FROM name_density""",
     "tree_agb_c1": f"SELECT {_TREE} FROM agb WHERE census = 1",
     "tree_agb_c2": f"SELECT {_TREE} FROM agb WHERE census = 2",
     "tree_agb_c3": f"""SELECT * REPLACE ('INFYS_' || source_code AS source_code) FROM (
@@ -210,6 +213,7 @@ _RAW_SQL["lookup_first"] = """SELECT source_code, status_es, status, n_rows FROM
     SELECT source_code, tenencia, anio, causa, anio_incendio, tipo_incendio, status_es, status, count(*) AS n_rows
     FROM caused2 GROUP BY ALL)"""
 _RAW_SQL["wood_density_cascade_shuffled"] = _RAW_SQL["wood_density_cascade"]
+_RAW_SQL["wood_density_cascade_c3_shuffled"] = _RAW_SQL["wood_density_cascade_c3"]
 for _k in (1, 2, 3):
     _RAW_SQL[f"clean_sentinels_c{_k}"] = f"""SELECT CAST(plot AS INT) AS plot, subplot, tag AS tag_number, raw_height,
         height, stand_age FROM cleaned WHERE census = {_k}"""

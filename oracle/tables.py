@@ -72,7 +72,8 @@ T["stems"] = f"""SELECT *, {STATE_OF} AS nk FROM (
            WHEN l_shipdate < TIMESTAMP '1999-01-01' THEN 2 ELSE 3 END AS census,
       p_name, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2,
       p_type, p_size, p_size % 10 AS kind
-    FROM lineitem LEFT JOIN part ON p_partkey = l_suppkey)"""
+    FROM lineitem LEFT JOIN part
+      ON p_partkey = (l_orderkey * 7 + l_suppkey) % (SELECT max(p_partkey) + 1 FROM part))"""
 
 T["trees"] = f"""SELECT census, plot, nk, code, CASE WHEN census < 3 THEN early_name ELSE late_name END AS state_name,
     CASE census WHEN 1 THEN {YEAR_OF[1]} WHEN 2 THEN {YEAR_OF[2]} ELSE {YEAR_OF[3]} END AS yr,
@@ -128,7 +129,7 @@ T["wood"] = """SELECT CAST(100000 + o_custkey AS INT) AS upmid,
       split_part(p_name, ' ', 1) AS genus, CASE WHEN p_size % 10 <> 7 THEN p_type END AS family,
       CASE WHEN NOT (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
            THEN (floor(o_totalprice / 1000) + 300) / 1000 END AS wd
-    FROM orders LEFT JOIN part ON o_orderkey % 100 = p_partkey"""
+    FROM orders LEFT JOIN part ON p_partkey = o_orderkey % (SELECT max(p_partkey) + 1 FROM part)"""
 
 T["sites"] = """SELECT DISTINCT CAST(plot + 100000 AS INT) AS upmid, plot, code,
       CAST(plot AS VARCHAR) || '_' || coalesce(CAST(code AS VARCHAR), 'NA') AS source_code
@@ -157,20 +158,28 @@ T["g_family"] = f"""SELECT family, {mean9('wd')} AS wd FROM (
         WHERE family IS NOT NULL GROUP BY family, genus, species)
       GROUP BY family, genus) GROUP BY family"""
 
-T["global_found"] = """SELECT n.*, CASE WHEN ok THEN coalesce(s.wd, g.wd, f.wd) END AS global_wd,
-      CASE WHEN NOT ok THEN NULL WHEN s.wd IS NOT NULL THEN 'species'
-           WHEN g.wd IS NOT NULL THEN 'genus' WHEN f.wd IS NOT NULL THEN 'family' END AS global_level
-    FROM (SELECT *, CASE WHEN census = 3 THEN apg_epithet ELSE species END AS g_epithet,
-            full_species = coalesce(genus, 'NA') || ' ' || CASE WHEN census = 3 THEN apg_epithet ELSE species END AS ok
-          FROM named) n
-    LEFT JOIN g_species s ON s.genus = n.genus AND s.species = n.g_epithet
-    LEFT JOIN g_genus g ON g.genus = n.genus
-    LEFT JOIN g_family f ON f.family = n.family"""
+T["taxa"] = """SELECT DISTINCT census, genus, CASE WHEN census = 3 THEN apg_epithet ELSE species END AS epithet,
+      family FROM named"""
+T["taxon_density"] = """SELECT t.*, coalesce(t.genus, 'NA') || ' ' || coalesce(t.epithet, 'NA') AS name,
+      coalesce(s.wd, g.wd, f.wd) AS wd,
+      CASE WHEN s.wd IS NOT NULL THEN 'species' WHEN g.wd IS NOT NULL THEN 'genus'
+           WHEN f.wd IS NOT NULL THEN 'family' END AS level
+    FROM taxa t LEFT JOIN g_species s ON s.genus = t.genus AND s.species = t.epithet
+    LEFT JOIN g_genus g ON g.genus = t.genus LEFT JOIN g_family f ON f.family = t.family"""
+# The source looks a full name up among the names of all rows of the census: the first counts.
+T["name_density"] = """SELECT census, name, wd, level FROM taxon_density QUALIFY row_number() OVER (
+      PARTITION BY census, name ORDER BY genus NULLS LAST, epithet NULLS LAST, family NULLS LAST) = 1"""
+T["global_found"] = """SELECT n.*, m.wd AS global_wd, m.level AS global_level, o.level AS own_level
+    FROM named n LEFT JOIN name_density m ON m.census = n.census AND m.name = n.full_species
+    JOIN taxon_density o ON o.census = n.census AND o.genus IS NOT DISTINCT FROM n.genus
+      AND o.epithet IS NOT DISTINCT FROM CASE WHEN n.census = 3 THEN n.apg_epithet ELSE n.species END
+      AND o.family IS NOT DISTINCT FROM n.family"""
 
 T["dense"] = """SELECT n.*,
       coalesce(a.mean_wood_density, b.mean_wood_density, c.mean_wood_density, global_wd, 0.48e0) AS wood_density,
       CASE WHEN coalesce(a.mean_wood_density, b.mean_wood_density, c.mean_wood_density) IS NOT NULL
-           THEN 'mexico_wd_db' ELSE coalesce(global_level, 'mean_mexico') END AS level_wd
+           THEN 'mexico_wd_db' WHEN global_wd IS NULL THEN 'mean_mexico'
+           WHEN n.census = 3 THEN own_level ELSE global_level END AS level_wd
     FROM global_found n
     LEFT JOIN site_full_species a ON a.source_code = n.source_code AND a.full_species IS NOT DISTINCT FROM n.full_species
     LEFT JOIN site_genus b ON b.source_code = n.source_code AND b.genus IS NOT DISTINCT FROM n.genus

@@ -58,6 +58,12 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def over_censuses(build: Callable[[int], DataFrame]) -> DataFrame:
+    """The same table of each census, one below the other."""
+    parts = [build(k) for k in CENSUSES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # Sources and sinks ---------------------------------------------------------------
 
 
@@ -544,6 +550,8 @@ def _density(k: int, strategy: str) -> Build:
             w.refs.densities,
             epithet=CENSUSES[k].epithet,
             strategy=strategy,
+            level_by=CENSUSES[k].level_by,
+            names=w.names(k),
         )
         columns = ["source_code", "tag_number", "subplot", "full_species", "family"]
         return rounded(dense.select(*columns, "wood_density", "level_wd"), 6, "wood_density")
@@ -552,23 +560,35 @@ def _density(k: int, strategy: str) -> Build:
 
 
 query("wood_density_cascade")(_density(1, "auto"))
+query("wood_density_cascade_c2")(_density(2, "auto"))
 query("wood_density_cascade_shuffled")(_density(1, "shuffle"))
 query("wood_density_cascade_c3")(_density(3, "auto"))
+query("wood_density_cascade_c3_shuffled")(_density(3, "shuffle"))
 
 
 @query("global_wood_density")
 def _(w: Workspace) -> DataFrame:
-    found = wood_density.global_wood_density(
-        w.keyed(2), w.inputs.global_wood_density(), region="Mexico"
-    )
     columns = ["source_code", "tag_number", "subplot", "full_species", "family"]
-    return rounded(found.select(*columns, "global_wd", "global_level"), 6, "global_wd")
+
+    def found(k: int) -> DataFrame:
+        trees_k = wood_density.global_wood_density(
+            w.keyed(k), w.inputs.global_wood_density(), region="Mexico", epithet=CENSUSES[k].epithet
+        )
+        return trees_k.select(F.lit(k).alias("census"), *columns, "global_wd", "global_level")
+
+    return rounded(over_censuses(found), 6, "global_wd")
+
+
+@query("name_densities")
+def _(w: Workspace) -> DataFrame:
+    names = over_censuses(lambda k: w.names(k).withColumn("census", F.lit(k)))
+    return rounded(names, 6, "global_wd")
 
 
 def _tree_agb(k: int) -> Build:
     def build(w: Workspace) -> DataFrame:
         spec = CENSUSES[k]
-        out = trees.tree_agb(w.raw_trees(k), spec, w.refs)
+        out = trees.tree_agb(w.raw_trees(k), spec, w.refs, names=w.names(k))
         extra = ["collection_code"] if k == 3 else []
         return rounded(
             out.select(

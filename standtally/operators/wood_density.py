@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from standtally.functions import fixed
-from standtally.functions.semantics import exact_mean, paste
+from standtally.functions.semantics import exact_mean, nulls_last, paste
 from standtally.sources.staging import fits_broadcast, stage
 
 # Stands for a missing taxon inside a map; no name contains a control character.
@@ -116,14 +116,13 @@ def _add_global_nested(
     )
 
 
-def add_global_density(
+def add_own_density(
     trees: DataFrame, levels: DataFrame, genera: DataFrame | None, epithet: str = "species"
 ) -> DataFrame:
-    """Add ``global_wd`` and ``global_level`` of the finest level that covers a tree.
+    """Add ``own_wd`` and ``own_level`` of the finest level that covers a row's own taxon.
 
     ``genera`` is the nested form of ``levels``, given only when they passed the
-    broadcast check. Matching goes by full name, so a tree whose full name is not its
-    genus and epithet (an undetermined tree) finds nothing.
+    broadcast check.
     """
     found = (
         _add_global_joined(trees, levels, epithet)
@@ -134,22 +133,49 @@ def add_global_density(
     label = F
     for level, wd in means.items():
         label = label.when(wd.isNotNull(), F.lit(level))
-    named = F.col("full_species") == paste("genus", epithet)
-    return found.withColumns(
-        {
-            "global_wd": F.when(named, F.coalesce(*means.values())),
-            "global_level": F.when(named, label),
-        }
-    ).drop(*[f"_wd_{level}" for level in means])
+    return found.withColumns({"own_wd": F.coalesce(*means.values()), "own_level": label}).drop(
+        *[f"_wd_{level}" for level in means]
+    )
+
+
+def name_densities(trees: DataFrame, levels: DataFrame, epithet: str = "species") -> DataFrame:
+    """The names of a census with their density, staged: ``name, global_wd, global_level``.
+
+    A name is genus and epithet as text. Trees of one name may differ in family, which
+    decides where neither species nor genus has a density; then the first family counts,
+    a missing one last. Trees shrink to their distinct taxa by a map-side aggregate before
+    anything is joined, so the dictionary costs one scan of three columns.
+    """
+    taxa = trees.select("genus", F.col(epithet).alias("epithet"), "family").distinct()
+    taxon = F.struct("genus", "epithet", "family")
+    first = F.min_by(taxon, F.struct(*nulls_last("genus", "epithet", "family"))).alias("_taxon")
+    named = taxa.groupBy(paste("genus", "epithet").alias("name")).agg(first).select("name", "_taxon.*")
+    return stage(
+        add_own_density(named, levels, None, "epithet").select(
+            "name", F.col("own_wd").alias("global_wd"), F.col("own_level").alias("global_level")
+        ),
+        "name-densities",
+    )
+
+
+def add_name_density(trees: DataFrame, names: DataFrame, small: bool) -> DataFrame:
+    """Add ``global_wd`` and ``global_level`` of the census entry with a tree's full name.
+
+    The entry may stem from other trees: an undetermined tree finds its genus' entry, and a
+    tree whose full name is no entry of the census finds nothing.
+    """
+    return trees.join(
+        F.broadcast(names) if small else names, F.col("full_species") == F.col("name"), "left"
+    ).drop("name")
 
 
 def global_wood_density(
     trees: DataFrame, global_wd: DataFrame, region: str | None = None, epithet: str = "species"
 ) -> DataFrame:
-    """Look trees up in a density table of one region (default: all of it)."""
+    """Look the trees of a census up in a density table of one region (default: all of it)."""
     levels = stage(global_density_levels(global_wd, region), "global-density")
-    genera = nest_genera(levels) if fits_broadcast(levels) else None
-    return add_global_density(trees, levels, genera, epithet)
+    names = name_densities(trees, levels, epithet)
+    return add_name_density(trees, names, fits_broadcast(names))
 
 
 def _taxon_map(taxon: Column) -> Column:
@@ -231,15 +257,24 @@ def assign_wood_density(
     default: float = fixed.DEFAULT_WOOD_DENSITY,
     epithet: str = "species",
     strategy: str = "auto",
+    level_by: str = "name",
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``wood_density`` (never missing) and ``level_wd`` to every tree.
 
+    Densities of the table are found by full name, among the names of the census. Their
+    level is that of the name, or with ``level_by="position"`` that of the tree's own taxon,
+    which may be missing. ``names`` is the staged result of ``name_densities`` if there is
+    one; else it is built here, which runs jobs.
+
     Small tables are broadcast and trees never move. Beyond the bound, or with
     ``strategy="shuffle"``, the cascade is resolved once per distinct taxon of a plot,
     which map-side combine keeps far below the tree count, and trees shuffle once, on
     plot and taxon together, so that one hot plot spreads over its taxa.
     """
-    small = tables.sites is not None and strategy == "auto"
+    if names is None:
+        names = name_densities(trees, tables.global_levels, epithet)
+    small = tables.sites is not None and strategy == "auto" and fits_broadcast(names)
 
     def resolve(df: DataFrame) -> DataFrame:
         sited = (
@@ -247,21 +282,25 @@ def assign_wood_density(
         )
         means = [f"_site_{level}" for level in SITE_LEVELS]
         sited = sited.withColumn("site_wd", F.coalesce(*[F.col(m) for m in means])).drop(*means)
-        both = add_global_density(
-            sited, tables.global_levels, tables.genera if small else None, epithet
-        )
-        return both.withColumns(
+        found = add_name_density(sited, names, small)
+        level = F.col("global_level")
+        if level_by == "position":
+            found = add_own_density(found, tables.global_levels, tables.genera if small else None, epithet)
+            level = F.col("own_level")
+        return found.withColumns(
             {
                 "wood_density": F.coalesce("site_wd", "global_wd", F.lit(default)),
-                "level_wd": F.when(F.col("site_wd").isNotNull(), F.lit(fixed.LEVEL_SITE)).otherwise(
-                    F.coalesce("global_level", F.lit(fixed.LEVEL_DEFAULT))
-                ),
+                "level_wd": F.when(F.col("site_wd").isNotNull(), F.lit(fixed.LEVEL_SITE))
+                .when(F.col("global_wd").isNull(), F.lit(fixed.LEVEL_DEFAULT))
+                .otherwise(level),
             }
-        ).drop("site_wd", "global_wd", "global_level")
+        ).drop("site_wd", "global_wd", "global_level", "own_wd", "own_level")
 
     if small:
         return resolve(trees)
-    keys = list(dict.fromkeys(["source_code", "full_species", "genus", "family", epithet]))
+    keys = ["source_code", "full_species", "genus", "family"]
+    if level_by == "position" and epithet not in keys:
+        keys.append(epithet)
     resolved = resolve(trees.select(*keys).distinct()).select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], "wood_density", "level_wd"
     )
@@ -279,8 +318,8 @@ def wood_density_cascade(
     region: str | None = None,
     epithet: str = "species",
     strategy: str = "auto",
+    level_by: str = "name",
 ) -> DataFrame:
     """Density of every tree from site samples, a density table and a constant."""
-    return assign_wood_density(
-        trees, density_tables(samples, global_wd, region), default, epithet, strategy
-    )
+    tables = density_tables(samples, global_wd, region)
+    return assign_wood_density(trees, tables, default, epithet, strategy, level_by)

@@ -10,7 +10,9 @@ class CensusSpec:
     """Column mapping and rules of one census.
 
     ``columns`` maps our tree columns to the raw ones. ``age`` names the cleaning rule:
-    zero and token, token only, or an upper limit.
+    zero and token, token only, or an upper limit. ``level_by`` tells whose level a density
+    found by name carries: that of the ``name``'s entry, or that of the tree's own row
+    (``position``).
     """
 
     number: int
@@ -28,6 +30,7 @@ class CensusSpec:
     all_subplots: bool
     state_from_code: bool
     carries: tuple[str, ...] = field(default=())
+    level_by: str = "name"
 
 
 _EARLY_COLUMNS = {
@@ -118,6 +121,7 @@ CENSUS3 = CensusSpec(
     raw_height=True,
     all_subplots=True,
     state_from_code=True,
+    level_by="position",
 )
 
 CENSUSES = {1: CENSUS1, 2: CENSUS2, 3: CENSUS3}

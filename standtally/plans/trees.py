@@ -76,26 +76,41 @@ def biomass_columns(spec: CensusSpec) -> dict[str, Column]:
 
 
 def all_trees(
-    raw: DataFrame, spec: CensusSpec, refs: Refs, strategy: str = "auto", literal: bool = False
+    raw: DataFrame,
+    spec: CensusSpec,
+    refs: Refs,
+    strategy: str = "auto",
+    literal: bool = False,
+    names: DataFrame | None = None,
 ) -> DataFrame:
-    """Every tree row with density and biomass, unmeasured trees included."""
+    """Every tree row with density and biomass, unmeasured trees included.
+
+    ``names`` is the census' dictionary of densities by name, if it was built before.
+    """
     dense = assign_wood_density(
         keyed_trees(raw, spec, refs, literal),
         refs.densities,
         epithet=spec.epithet,
         strategy=strategy,
+        level_by=spec.level_by,
+        names=names,
     )
     return dense.withColumns(biomass_columns(spec))
 
 
 def tree_agb(
-    raw: DataFrame, spec: CensusSpec, refs: Refs, strategy: str = "auto", literal: bool = False
+    raw: DataFrame,
+    spec: CensusSpec,
+    refs: Refs,
+    strategy: str = "auto",
+    literal: bool = False,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Tree table of one census with biomass estimates.
 
     In the third census only trees with a diameter stay and keys carry their prefix.
     """
-    trees = all_trees(raw, spec, refs, strategy, literal)
+    trees = all_trees(raw, spec, refs, strategy, literal, names)
     extra: list[str] = []
     if spec.state_from_code:
         trees = trees.filter(F.col("diameter").isNotNull()).withColumn(

@@ -112,8 +112,19 @@ class DerivedInventory:
             stems = stems.filter(F.col("l_shipdate") >= first)
         if census < 3:
             stems = stems.filter(F.col("l_shipdate") < after)
+        return self._with_part(stems, F.col("l_orderkey") * 7 + F.col("l_suppkey"))
+
+    def _with_part(self, df: DataFrame, number: Column) -> DataFrame:
+        """Add the part that a whole number falls on, over the whole range of keys."""
         taxa = self.table("part").select("p_partkey", "p_name", "p_type", "p_size")
-        return stems.join(taxa, F.col("l_suppkey") == F.col("p_partkey"), "left")
+        # One row, from the keys alone.
+        keys = F.broadcast(taxa.agg((F.max("p_partkey") + 1).alias("_keys")))
+        return (
+            df.withColumn("_number", number)
+            .crossJoin(keys)
+            .join(taxa, F.col("_number") % F.col("_keys") == F.col("p_partkey"), "left")
+            .drop("_number", "_keys")
+        )
 
     def trees(self, census: int) -> DataFrame:
         plot = F.col("l_partkey")
@@ -289,10 +300,7 @@ class DerivedInventory:
         )
 
     def wood_samples(self) -> DataFrame:
-        taxa = self.table("part").select("p_partkey", "p_name", "p_type", "p_size")
-        rows = self.table("orders").join(
-            taxa, F.col("o_orderkey") % 100 == F.col("p_partkey"), "left"
-        )
+        rows = self._with_part(self.table("orders"), F.col("o_orderkey"))
         kind = F.col("p_size") % 10
         genus = F.split("p_name", " ")[0]
         lost = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
