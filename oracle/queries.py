@@ -26,6 +26,17 @@ _RAW_SQL = {
         veg AS tipo_veg_sv, subplot AS sitio, CAST(tag AS INT) AS arbol, family AS familia_apg, cond AS condicion,
         long AS x, lat AS y, age_text AS edad, sci AS nombre_cientifico_apg, diameter AS diametro_normal,
         raw_height AS altura_total FROM trees WHERE census = 1""",
+    "read_inventory_csv_c2": """SELECT CAST(plot AS INT) AS conglomerado, state_name AS estado, yr AS anio, 'F1' AS formato,
+        veg AS tipo_veg_sv, subplot AS sitio, CAST(tag AS INT) AS arbol, family AS familia_apg, cond AS condicion,
+        long AS x, lat AS y, age_text AS edad, sci AS nombre_cientifico_apg, diameter AS diametro_normal,
+        raw_height AS altura_total, l_quantity / 10 AS area_basal FROM trees WHERE census = 2""",
+    "read_inventory_csv_c3": """SELECT code AS cve_estado_c3, state_name AS estado_c3,
+        CAST(plot + 100000 AS INT) AS upmid, CAST(plot AS INT) AS id_conglomerado, yr AS anio_c3, tag AS arbolado_id_c3,
+        'Ecorregión ' || p_type AS desecon4_c3, veg AS descrip_s7_c3, long AS x_c3, lat AS y_c3, subplot AS sitio_c3,
+        sci AS nombre_cientifico_apg_c3, family AS familia_apg_c3, apg_genus AS genero_apg_c3,
+        apg_epithet AS especie_apg_c3, diameter AS diametro_normal_c3, raw_height AS altura_total_c3,
+        reported AS biomasa_kg_c3, cond AS condicion_c3, CAST(age_number AS INT) AS edad_c3
+        FROM trees WHERE census = 3""",
     "canonical_columns": """SELECT upmid AS upmid_site_code, full_species AS species, genus, family,
         wd AS basic_wood_density_g_cm3 FROM wood""",
     "write_table": """SELECT census, CAST(plot AS INT) AS plot, subplot, tag AS tag_number, diameter, height FROM cleaned""",
@@ -46,10 +57,10 @@ _RAW_SQL = {
     + " FROM aligned",
     "lookup_or_self": """SELECT source_code, census, class_es, coalesce(v.class_en, s.class_es) AS class_name FROM (
         SELECT source_code, census, lower(replace(source_vegetation_class_es, chr(160), ' ')) AS class_es
-        FROM long_join) s LEFT JOIN classes v USING (class_es)""",
+        FROM long_union) s LEFT JOIN classes v USING (class_es)""",
     "relabel_census": """SELECT source_code, census,
         CASE census WHEN 'c1' THEN '1' WHEN 'c2' THEN '2' WHEN 'c3' THEN '3' END AS which_census, census_date
-        FROM long_join""",
+        FROM long_union""",
     "site_species_density": "SELECT source_code, full_species, mean_wood_density FROM site_full_species",
     "site_genus_density": "SELECT source_code, genus, mean_wood_density FROM site_genus",
     "site_family_density": "SELECT source_code, family, mean_wood_density FROM site_family",
@@ -68,6 +79,8 @@ _RAW_SQL = {
     "first_per_key": """SELECT source_code, veg AS forest_type, state_name AS state,
         ecoregion || ' 1' AS ecoregion_desecon4 FROM registry3""",
     "agb_change": f"""SELECT source_code, census, census_date, agb_mgha_1, year_diff, agb_change
+        FROM ({changed('long_union')})""",
+    "agb_change_join": f"""SELECT source_code, census, census_date, agb_mgha_1, year_diff, agb_change
         FROM ({changed('long_join')})""",
     "agb_change_total": f"""SELECT source_code, census, census_date, total_year_diff,
         round(agb_change_total, 6) AS agb_change_total FROM ({changed('long_union')})""",
@@ -87,7 +100,8 @@ _RAW_SQL = {
             string_agg(DISTINCT source_vegetation_class, '/' ORDER BY source_vegetation_class) AS classes
           FROM long_union GROUP BY source_code) USING (source_code)""",
     "state_dictionary": "SELECT code, name, std_name FROM states",
-    "census_panel_long": f"SELECT {_LONG} FROM long_join",
+    "census_panel_long": f"SELECT {_LONG} FROM long_union",
+    "census_panel_join": f"SELECT {_LONG} FROM long_join",
     "census_panel_union": f"SELECT {_LONG} FROM long_union",
     "agb_methods_long": "SELECT source_code, tag, subplot, lat, long, agb_type, agb_value FROM methods",
     "standardize_name": f"SELECT doc_id, {std('text')} AS std_text FROM documents",
@@ -173,7 +187,8 @@ _RAW_SQL = {
     "census_plot_table_c2": f"SELECT {_PLOT12}, agb_plot, std_state FROM c2",
     "census_plot_table_c3": "SELECT * FROM c3",
     "panel_with_change": "SELECT * FROM panel",
-    "panel_with_change_union": "SELECT * FROM panel_u",
+    "panel_with_change_union": "SELECT * FROM panel",
+    "panel_with_change_join": "SELECT * FROM panel_join",
     "panel_with_change_one_row": "SELECT * FROM panel_one",
     "panel_with_bgb": f"""SELECT * EXCLUDE ({_BGB_DROPS}) REPLACE (
         round(bgb_mg, 6) AS bgb_mg) FROM bgb""",

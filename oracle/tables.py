@@ -337,9 +337,10 @@ T["c3"] = """SELECT n.collection_code, n.plot_code, n.public_code AS source_code
       m.source_vegetation_class_es, v.class_en AS source_vegetation_class,
       concat_ws(';', d.disturbance_en, CASE WHEN contains(m.source_vegetation_class_es, 'vegetacion secundaria')
         THEN 'secondary vegetation' END) AS source_vegetation_status
-    FROM numbered3 n LEFT JOIN meta3 m ON m.source_code = n.public_code
+    FROM numbered3 n LEFT JOIN (SELECT DISTINCT source_code, cve_estado_c3, upmid, umafor, ecoregion,
+        minimum_dbh_plot, land_ownership, source_vegetation_class_es FROM meta3) m ON m.source_code = n.public_code
     LEFT JOIN classes v ON v.class_es = m.source_vegetation_class_es
-    LEFT JOIN hits3 d ON d.source_code = n.public_code
+    LEFT JOIN (SELECT DISTINCT * FROM hits3) d ON d.source_code = n.public_code
     WHERE n.collection_code IS NOT NULL"""
 
 # Panel measures: name, type, censuses that have it.
@@ -401,7 +402,7 @@ _TIES = ["source_vegetation_class", "source_vegetation_status", "land_ownership"
 _FIRST = ["census_date", *_TIES, "census"]
 ORDER = ", ".join(
     f"{c} NULLS LAST"
-    for c in [*_FIRST, *[m for m, _, _ in MEASURES if m not in _FIRST], "latitude", "longitude", "agb_plot_c2"]
+    for c in [*_FIRST, *[m for m, _, _ in MEASURES if m not in _FIRST], "latitude", "longitude", "agb_plot_c2", "collection_code"]
 )
 
 
@@ -442,8 +443,8 @@ def _panel(name: str, source: str) -> None:
       LEFT JOIN features f ON f.source_code = n.source_code"""
 
 
-_panel("panel", "long_join")
-_panel("panel_u", "long_union")
+_panel("panel", "long_union")
+_panel("panel_join", "long_join")
 
 # One row per plot and census, the first in tie order, then aligned.
 _COLUMNS = {

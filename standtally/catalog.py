@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from standtally.functions import allometry as A
 from standtally.functions import fixed, semantics, text
@@ -67,13 +68,28 @@ def over_censuses(build: Callable[[int], DataFrame]) -> DataFrame:
 # Sources and sinks ---------------------------------------------------------------
 
 
-@query("read_inventory_csv")
-def _(w: Workspace) -> DataFrame:
-    schema = schemas.schema_of("trees_c1")
-    source = w.raw_trees(1).toDF(*schema.fieldNames())
-    path = new_path(w.spark, "trees-csv")
-    tables.write_table(source, path, format="csv")
-    return tables.canonical_columns(tables.read_inventory_csv(w.spark, path, schema))
+def _read_csv(k: int) -> Build:
+    """A census written as files of two column orders, one of them wider, and read back."""
+
+    def build(w: Workspace) -> DataFrame:
+        raw = w.raw_trees(k)
+        declared = schemas.schema_of(f"trees_c{k}").fields
+        schema = T.StructType([f for f in declared if tables.canonical_name(f.name) in raw.columns])
+        names = schema.fieldNames()
+        source = raw.select(*[F.col(tables.canonical_name(n)).alias(n) for n in names])
+        late = F.pmod(F.xxhash64(*[F.col(f"`{n}`") for n in names]), F.lit(2)) == 1
+        path = new_path(w.spark, "trees-csv")
+        tables.write_table(source.filter(~late), path, format="csv")
+        wider = source.filter(late).select(*reversed(source.columns), F.lit("more").alias("REMARK"))
+        tables.write_table(wider, path, format="csv", mode="append")
+        return tables.canonical_columns(tables.read_inventory_csv(w.spark, path, schema))
+
+    return build
+
+
+query("read_inventory_csv")(_read_csv(1))
+query("read_inventory_csv_c2")(_read_csv(2))
+query("read_inventory_csv_c3")(_read_csv(3))
 
 
 @query("canonical_columns")
@@ -263,6 +279,13 @@ def _(w: Workspace) -> DataFrame:
     )
 
 
+@query("agb_change_join")
+def _(w: Workspace) -> DataFrame:
+    return panel.agb_change(w.long("join")).select(
+        "source_code", "census", "census_date", "agb_mgha_1", "year_diff", "agb_change"
+    )
+
+
 @query("agb_change_total")
 def _(w: Workspace) -> DataFrame:
     changed = panel.agb_change(w.long("union")).select(
@@ -328,6 +351,11 @@ def _(w: Workspace) -> DataFrame:
     return w.long("union")
 
 
+@query("census_panel_join")
+def _(w: Workspace) -> DataFrame:
+    return w.long("join")
+
+
 @query("agb_methods_long")
 def _(w: Workspace) -> DataFrame:
     return compare.agb_methods_long(
@@ -658,6 +686,11 @@ def _(w: Workspace) -> DataFrame:
     return w.panel("union")
 
 
+@query("panel_with_change_join")
+def _(w: Workspace) -> DataFrame:
+    return w.panel("join")
+
+
 @query("panel_with_change_one_row")
 def _(w: Workspace) -> DataFrame:
     return w.panel(one_row_per_census=True)

@@ -90,8 +90,16 @@ def census_plot_table_c3(
     refs: Refs,
     spec: CensusSpec,
     disturbances: DataFrame | None = None,
+    counted: bool = False,
 ) -> DataFrame:
-    """Plot table of the third census; ``disturbances`` has source_code, disturbance_en."""
+    """Plot table of the third census; ``disturbances`` has source_code, disturbance_en.
+
+    Registry and disturbance rows fold on the map side to their distinct variants before
+    they meet plots, so copies of them do not multiply the result; ``n_rows`` tells how many
+    pairs of registry and disturbance row a result row stands for. Variants that differ
+    each give a row. With ``counted`` off the number is left out.
+    """
+    metadata = variants(metadata, "_registry_rows")
     rollup = plot_rollup(trees, spec).withColumn("source_code", public_key("source_code"))
     numbered = number_plots(rollup, "source_code", "collection_code", within=None)
     joined = numbered.join(metadata, "source_code", "left").filter(
@@ -104,15 +112,18 @@ def census_plot_table_c3(
         "source_vegetation_class",
     )
     if disturbances is None:
-        disturbed = classed.withColumn("disturbance_en", F.lit(None).cast("string"))
-    else:
-        disturbed = classed.join(
-            disturbances.select("source_code", "disturbance_en"), "source_code", "left"
+        disturbed = classed.withColumn("disturbance_en", F.lit(None).cast("string")).withColumn(
+            "_disturbance_rows", F.lit(None).cast("bigint")
         )
+    else:
+        hits = variants(disturbances.select("source_code", "disturbance_en"), "_disturbance_rows")
+        disturbed = classed.join(hits, "source_code", "left")
     secondary = F.when(
         F.col("source_vegetation_class_es").contains(fixed.SECONDARY_VEGETATION_ES),
         F.lit(fixed.SECONDARY_VEGETATION),
     )
+    one = F.lit(1).cast("bigint")
+    n_rows = (F.coalesce("_registry_rows", one) * F.coalesce("_disturbance_rows", one)).alias("n_rows")
     return disturbed.withColumn(
         "source_vegetation_status", vegetation_status("disturbance_en", secondary)
     ).select(
@@ -142,4 +153,10 @@ def census_plot_table_c3(
         "source_vegetation_class_es",
         "source_vegetation_class",
         "source_vegetation_status",
+        *([n_rows] if counted else []),
     )
+
+
+def variants(df: DataFrame, count: str) -> DataFrame:
+    """The distinct rows of a table with their number."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(count))

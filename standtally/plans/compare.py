@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from standtally.functions.semantics import units
 from standtally.operators.quantiles import exact_quantiles, value_counts
 from standtally.sources.staging import stage
 
@@ -47,18 +48,42 @@ def agb_method_boxstats(trees: DataFrame) -> DataFrame:
     )
 
 
+# Whole units whose products a sum of 38 digits still holds.
+FIT_UNITS = "decimal(19,0)"
+
+
 def agb_method_fit(trees: DataFrame) -> DataFrame:
-    """Straight-line fits of the second and third estimate on the first, in one scan."""
-    fits = trees.agg(
-        *[
-            F.struct(
-                F.lit(y).alias("agb_type"),
-                F.regr_count(y, "agb_tree_kg").alias("n"),
-                F.regr_slope(y, "agb_tree_kg").alias("slope"),
-                F.regr_intercept(y, "agb_tree_kg").alias("intercept"),
-                F.regr_r2(y, "agb_tree_kg").alias("r2"),
-            ).alias(y)
-            for y in METHODS[1:]
-        ]
-    )
-    return fits.select(F.inline(F.array(*METHODS[1:])))
+    """Straight-line fits of the second and third estimate on the first, in one scan.
+
+    The moments are sums of whole numbers, so the fit is the same to the last bit however
+    rows are dealt over tasks. The first estimate keeps 2 decimals and the others 6; a value
+    beyond 19 digits of these is missing. With no spread in the first estimate there is no
+    line; with none in the other one it fits fully.
+    """
+
+    def fit(y: str) -> Column:
+        pair = F.col(f"{y}_n")
+        n, sx, sy, sxx, syy, sxy = (
+            F.col(f"{y}_{m}").cast("double") for m in ("n", "x", "y", "xx", "yy", "xy")
+        )
+        spread_x, spread_y = sxx - sx * sx / n, syy - sy * sy / n
+        both = sxy - sx * sy / n
+        slope = F.when((pair > 0) & (spread_x > 0), both / spread_x)
+        full = F.when(spread_y > 0, both * both / (spread_x * spread_y)).otherwise(F.lit(1.0))
+        return F.struct(
+            F.lit(y).alias("agb_type"),
+            pair.alias("n"),
+            (slope / 1e4).alias("slope"),
+            ((sy - slope * sx) / n / 1e6).alias("intercept"),
+            F.when(slope.isNotNull(), full).alias("r2"),
+        )
+
+    x = units("agb_tree_kg", 2).try_cast(FIT_UNITS)
+    moments = []
+    for name in METHODS[1:]:
+        y = units(name, 6).try_cast(FIT_UNITS)
+        in_pair = x.isNotNull() & y.isNotNull()
+        products = {"x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+        moments.append(F.count_if(in_pair).alias(f"{name}_n"))
+        moments += [F.sum(F.when(in_pair, v)).alias(f"{name}_{m}") for m, v in products.items()]
+    return trees.agg(*moments).select(F.inline(F.array(*[fit(y) for y in METHODS[1:]])))

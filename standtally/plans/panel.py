@@ -12,8 +12,10 @@ from standtally.functions.text import clean_nbsp
 from standtally.operators.grouped import group_concat_broadcast, row_checks
 from standtally.operators.lookup import lookup_or_self, relabel
 from standtally.operators.ranking import number_plots
+from standtally.operators.skew import join_unique
 from standtally.plans.census import climate_of_class
 from standtally.functions.allometry import bgb, carbon
+from standtally.sources.staging import stage
 
 KEY = "source_code"
 CENSUS_NAMES = list(fixed.CENSUS_LABELS)
@@ -72,13 +74,14 @@ def _measure_types(tables: list[DataFrame]) -> dict[str, str]:
 
 
 def census_panel_long(
-    c1: DataFrame, c2: DataFrame, c3: DataFrame, align: str = "join"
+    c1: DataFrame, c2: DataFrame, c3: DataFrame, align: str = "union"
 ) -> DataFrame:
     """Long panel: a row per plot and census, with plot-wide place and collection.
 
-    ``align="join"`` unpivots the wide alignment and therefore repeats a census row for
-    every combination of the other censuses' rows. ``align="union"`` keeps each plot
-    row once; place and collection are then the plot's first present values.
+    ``align="union"`` keeps each plot row once, so the panel is as long as its inputs; place
+    and collection are the plot's first present values. ``align="join"`` unpivots the wide
+    alignment and therefore repeats a census row for every combination of the other
+    censuses' rows, whose number is the cube of the rows on a key that plots were pooled on.
     """
     if align == "union":
         return _panel_union([c1, c2, c3])
@@ -123,36 +126,29 @@ def _panel_union(tables: list[DataFrame]) -> DataFrame:
         )
         for name, t in zip(CENSUS_NAMES, tables, strict=True)
     ]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    per_plot = W.partitionBy(KEY)
+    both = stage(parts[0].unionByName(parts[1]).unionByName(parts[2]), "stacked")
 
     def plot_wide(value: Column, order: list[str]) -> Column:
-        return F.coalesce(
-            *[F.min(F.when(F.col("census") == c, value)).over(per_plot) for c in order]
-        )
+        return F.coalesce(*[F.min(F.when(F.col("census") == c, value)) for c in order])
 
     place = F.when(F.col("lat").isNotNull(), F.struct("lat", "long"))
-    return (
-        both.withColumns(
-            {
-                "_place": plot_wide(place, ["c3", "c2", "c1"]),
-                "_collection": plot_wide(F.col("collection_code"), ["c1", "c2", "c3"]),
-                "agb_plot_c2": plot_wide(F.col("agb_plot"), ["c2"]),
-            }
-        )
-        .select(
-            KEY,
-            F.col("_place.lat").alias("latitude"),
-            F.col("_place.long").alias("longitude"),
-            F.col("_collection").alias("collection_code"),
-            "agb_plot_c2",
-            "census",
-            *types,
-        )
+    per_plot = both.groupBy(KEY).agg(
+        plot_wide(place, ["c3", "c2", "c1"]).alias("_place"),
+        plot_wide(F.col("collection_code"), ["c1", "c2", "c3"]).alias("_collection"),
+        plot_wide(F.col("agb_plot"), ["c2"]).alias("agb_plot_c2"),
+    )
+    return join_unique(both.drop("agb_plot", "collection_code"), per_plot, [KEY]).select(
+        KEY,
+        F.col("_place.lat").alias("latitude"),
+        F.col("_place.long").alias("longitude"),
+        F.col("_collection").alias("collection_code"),
+        "agb_plot_c2",
+        "census",
+        *types,
     )
 
 
-def panel_order(panel: DataFrame) -> list[Column]:
+def panel_order_columns(panel: DataFrame) -> list[str]:
     """A total order of a plot's rows: year, ties, then every other column."""
     first = ["census_date", *TIE_ORDER, "census"]
     rest = [
@@ -160,29 +156,62 @@ def panel_order(panel: DataFrame) -> list[Column]:
         for c in [*fixed.PANEL_MEASURES, "latitude", "longitude", "agb_plot_c2"]
         if c in panel.columns and c not in first
     ]
-    return [F.col(c).asc_nulls_last() for c in [*first, *rest] if c in panel.columns]
+    others = [c for c in panel.columns if c not in (KEY, *first, *rest)]
+    return [c for c in [*first, *rest, *others] if c in panel.columns]
+
+
+def _year_steps(variants: DataFrame, order: Column) -> DataFrame:
+    """Per plot and year: its first row, and what came before it.
+
+    Rows fold on the map side to the first and the last row of a plot's year; a window
+    then runs over the years of a plot, of which there are few, and over no panel rows.
+    """
+    ends = variants.groupBy(KEY, "census_date").agg(
+        F.min(F.struct(order.alias("o"), F.col("agb_mgha_1").alias("agb"))).alias("_first"),
+        F.max(F.struct(order.alias("o"), F.col("agb_mgha_1").alias("agb"))).alias("_last"),
+    )
+    years = W.partitionBy(KEY).orderBy(F.col("census_date").asc_nulls_last())
+    so_far = years.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return ends.select(
+        KEY,
+        "census_date",
+        F.col("_first.o").alias("_first_row"),
+        F.lag("census_date").over(years).alias("_before"),
+        F.lag("_last.agb").over(years).alias("_agb_before"),
+        F.first("census_date").over(so_far).alias("_start"),
+        F.first("_first.agb").over(so_far).alias("_agb_start"),
+    )
 
 
 def agb_change(panel: DataFrame) -> DataFrame:
     """Yearly biomass change since the previous row and since the first row of a plot.
 
-    Rows of the same year give a missing change. Biomass is known to 3 decimals, so the
-    difference is taken in whole thousandths and the rounded ratio is exact.
+    Rows of the same year give a missing change, so only the first row of a plot's year has
+    one, since the last row of the year before. Equal rows fold to one with a count, and
+    each plot's year to its first and last row; the steps between years join back by plot
+    and year, so that a plot with very many rows is spread over tasks. Of equal first rows
+    one has the change. Biomass is known to 3 decimals, so the difference is taken in whole
+    thousandths and the rounded ratio is exact. The folded rows are stored, which runs a job.
     """
-    ordered = W.partitionBy(KEY).orderBy(*panel_order(panel))
-    so_far = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
-    milli = fixed_point("agb_mgha_1", 3)
-    year_diff = F.col("census_date") - F.lag("census_date").over(ordered)
-    total = F.col("census_date") - F.first("census_date").over(so_far)
-    step = (milli - F.lag(milli).over(ordered)).cast("double")
-    since_first = F.col("agb_mgha_1") - F.first("agb_mgha_1").over(so_far)
-    return panel.withColumns(
-        {
-            "year_diff": year_diff,
-            "agb_change": F.round(F.try_divide(step, year_diff * 10.0)) / 100.0,
-            "total_year_diff": total,
-            "agb_change_total": F.try_divide(since_first, total.cast("double")),
-        }
+    names = panel.columns
+    variants = stage(panel.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies")), "panel-variants")
+    order = F.struct(*[
+        part.alias(f"o{i}")
+        for i, part in enumerate(nulls_last(*panel_order_columns(panel)))
+    ])
+    joined = join_unique(variants, _year_steps(variants, order), [KEY, "census_date"])
+    rows = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    first = (F.col("_copy") == 1) & order.eqNullSafe(F.col("_first_row"))
+    year_diff = F.col("census_date") - F.when(first, F.col("_before")).otherwise(F.col("census_date"))
+    step = (fixed_point("agb_mgha_1", 3) - fixed_point("_agb_before", 3)).cast("double")
+    total = F.col("census_date") - F.col("_start")
+    change = F.round(F.try_divide(step, year_diff * 10.0)) / 100.0
+    return rows.select(
+        *names,
+        year_diff.alias("year_diff"),
+        F.when(first, change).alias("agb_change"),
+        total.alias("total_year_diff"),
+        F.try_divide(F.col("agb_mgha_1") - F.col("_agb_start"), total.cast("double")).alias("agb_change_total"),
     )
 
 
@@ -197,7 +226,7 @@ def panel_with_change(
     c3: DataFrame,
     features: DataFrame,
     vegetation: DataFrame,
-    align: str = "join",
+    align: str = "union",
     one_row_per_census: bool = False,
 ) -> DataFrame:
     """The change panel: long form, change, plot codes, constants, classes, registry.
@@ -270,13 +299,35 @@ def class_ownership_history(panel: DataFrame) -> DataFrame:
 
 
 def panel_row_checks(c1: DataFrame, c2: DataFrame, c3: DataFrame, panel: DataFrame) -> DataFrame:
-    """Row and key counts of the inputs, the alignment and the panel."""
-    return row_checks(
-        [
-            ("census1", c1, KEY),
-            ("census2", c2, KEY),
-            ("census3", c3, KEY),
-            ("aligned", align_censuses(c1, c2, c3), KEY),
-            ("panel", panel, KEY),
-        ]
+    """Row and key counts of the inputs, the alignment and the panel.
+
+    The alignment is counted from the rows that each plot has, without pairing them up.
+    """
+    inputs = [("census1", c1, KEY), ("census2", c2, KEY), ("census3", c3, KEY)]
+    plain = row_checks([*inputs, ("panel", panel, KEY)])
+    aligned = aligned_counts(c1, c2, c3).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("rows"),
+        F.coalesce(F.sum(F.when(F.col(KEY).isNull(), F.col("rows"))), F.lit(0)).cast("bigint").alias("null_keys"),
+        F.count(KEY).alias("distinct_keys"),
+    )
+    return plain.unionByName(aligned.withColumn("stage", F.lit("aligned")))
+
+
+def aligned_counts(c1: DataFrame, c2: DataFrame, c3: DataFrame) -> DataFrame:
+    """Per plot, how many rows the join form of the alignment has: the product of the rows
+    of its censuses, each at least one. Rows without a key match none and stand alone."""
+    stacked = None
+    for i, table in enumerate((c1, c2, c3)):
+        part = table.select(KEY, F.lit(i).alias("_i"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    per_census = stacked.groupBy(KEY).agg(
+        *[F.count_if(F.col("_i") == i).alias(f"_n{i}") for i in range(3)]
+    )
+    # Products may pass 64 bits on a pooled key.
+    product = F.lit(1).cast("decimal(12,0)")
+    for i in range(3):
+        product = product * F.greatest(F.col(f"_n{i}"), F.lit(1)).cast("decimal(12,0)")
+    apart = (F.col("_n0") + F.col("_n1") + F.col("_n2")).cast("decimal(38,0)")
+    return per_census.select(
+        KEY, F.when(F.col(KEY).isNull(), apart).otherwise(product.cast("decimal(38,0)")).alias("rows")
     )

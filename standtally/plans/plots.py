@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from standtally.functions import fixed
@@ -10,8 +11,6 @@ from standtally.functions.allometry import per_hectare, plot_area_ha
 from standtally.functions.semantics import (
     count_distinct_na,
     mean_from_sums,
-    rounded_mean,
-    sum_fixed,
     units,
 )
 from standtally.plans.spec import CensusSpec
@@ -98,27 +97,50 @@ def _rollup(trees: DataFrame, spec: CensusSpec, coordinates: bool) -> DataFrame:
 def _rollup_all_subplots(trees: DataFrame, spec: CensusSpec) -> DataFrame:
     """Rollup whose subplot count also sees trees without a diameter.
 
-    The count comes from its own light aggregate (plot and subplot only) and joins the
-    plot table, not the trees.
+    Trees are read once: they fold to their keys and subplot, with sums over measured trees
+    only. These few rows carry both results. The distinct subplots of a plot are ranked over
+    them, and the sums add up by key, on the same exchange by plot.
     """
-    counts = trees.groupBy("source_code").agg(count_distinct_na("subplot").alias("subplot_count"))
     keys = ["source_code", *spec.labels, "census_date", *spec.group_extra]
-    measured = trees.filter(F.col("diameter").isNotNull())
-    sums = measured.groupBy(*keys).agg(
-        sum_fixed("agb_tree_kg", 2).alias("_kg100"),
-        F.coalesce(F.sum(F.col("agb2_tree_kg").try_cast(REPORTED_DECIMAL)), F.lit(0)).alias("_kg2"),
-        F.sum(units("stand_age", MEAN_SCALE)).alias("_age"),
-        F.count(units("stand_age", MEAN_SCALE)).alias("_ages"),
-        F.count(F.lit(1)).alias("_rows"),
-        rounded_mean("height", 2, MEAN_SCALE).alias("height"),
+    measured = F.col("diameter").isNotNull()
+
+    def of(c: Column) -> Column:
+        return F.when(measured, c)
+
+    height = units("height", MEAN_SCALE)
+    age_units = units("stand_age", MEAN_SCALE)
+    subplots = trees.groupBy(*keys, "subplot").agg(
+        F.sum(of(units("agb_tree_kg", 2))).alias("_kg"),
+        F.sum(of(F.col("agb2_tree_kg").try_cast(REPORTED_DECIMAL))).alias("_kg_reported"),
+        F.sum(of(age_units)).alias("_age"),
+        F.count(of(age_units)).alias("_ages"),
+        F.sum(of(height)).alias("_height"),
+        F.count(of(height)).alias("_heights"),
+        F.count(of(F.lit(1))).alias("_rows"),
+    )
+    plot = W.partitionBy("source_code")
+    # A missing subplot ranks as one value.
+    ranked = subplots.withColumn("_rank", F.dense_rank().over(plot.orderBy("subplot")))
+    counted = ranked.withColumn("subplot_count", F.max("_rank").over(plot).cast("bigint"))
+    sums = (
+        counted.groupBy(*keys)
+        .agg(
+            F.max("subplot_count").alias("subplot_count"),
+            F.coalesce(F.sum("_kg"), F.lit(0)).alias("_kg100"),
+            F.coalesce(F.sum("_kg_reported"), F.lit(0)).alias("_kg2"),
+            *[F.sum(c).alias(c) for c in ("_age", "_ages", "_height", "_heights", "_rows")],
+        )
+        .filter("_rows > 0")
+        .withColumn("height", mean_from_sums(F.col("_height"), F.col("_heights"), 2, MEAN_SCALE))
+        # Plots without a key have no count to meet.
+        .filter(F.col("source_code").isNotNull())
     )
     age = mean_from_sums(F.col("_age"), F.col("_ages"), 2, MEAN_SCALE)
     if spec.strict_age_mean:
         age = F.when(F.col("_ages") == F.col("_rows"), age)
     kg2 = F.col("_kg2").cast("double")
     return (
-        sums.join(counts, "source_code")
-        .withColumn("plot_area_ha", plot_area_ha("subplot_count"))
+        sums.withColumn("plot_area_ha", plot_area_ha("subplot_count"))
         .select(
             *keys,
             "subplot_count",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import unicodedata
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +44,25 @@ def rename_by_pattern(df: DataFrame, pattern: str, replacement: str) -> DataFram
     return df.toDF(*[re.sub(pattern, replacement, c) for c in df.columns])
 
 
-def _header(spark: SparkSession, path: str, options: dict) -> list[str]:
-    """Column names of a CSV file, or of the first file of a folder, as written."""
-    first = spark.read.csv(path, header=False, **options).limit(1).first()
-    return [] if first is None else [v or "" for v in first]
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The header lines of a CSV file or folder, each with its files.
+
+    The first line of a file is that of its first block; one line a file is gathered, with
+    a partial aggregate in every task.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    first = lines.filter((F.col("at") == 0) & (F.trim("value") != "")).groupBy("file").agg(
+        F.min_by("value", "line").alias("header")
+    )
+    found: dict[str, list[str]] = {}
+    for row in first.collect():
+        found.setdefault(row["header"].lstrip("\ufeff"), []).append(unquote(row["file"]))
+    return found
 
 
 def read_inventory_csv(
@@ -53,20 +70,41 @@ def read_inventory_csv(
 ) -> DataFrame:
     """Header CSV; the declared columns are found by name, wherever they stand.
 
-    Other columns are passed over. Of columns with one name the first counts; a declared
-    column that the file lacks is an error. ``NA`` is missing, a blank text stays blank, and
-    a value that is not of its declared type is missing; ``keep_corrupt`` adds the values of
-    such a row as one text. All files of a folder have the same header.
+    Files of a folder may differ in the order and number of their columns: files of one
+    header are read together, each group by its own names. Other columns are passed over. Of
+    columns with one name the first counts; a declared column that a file lacks is an error.
+    ``NA`` is missing, a blank text stays blank, and a value that is not of its declared type
+    is missing; ``keep_corrupt`` adds the values of such a row as one text. Headers are read
+    when the plan is built; one line a file comes to the driver. Empty files have no rows.
     """
+    headers = _headers(spark, path)
+    if not headers:
+        corrupt = [T.StructField(CORRUPT, T.StringType())] if keep_corrupt else []
+        return spark.createDataFrame([], T.StructType([*schema.fields, *corrupt]))
+    whole = len(headers) == 1
+    parts = [
+        _read_group(spark, path if whole else sorted(files), header, schema, keep_corrupt)
+        for header, files in sorted(headers.items())
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _read_group(
+    spark: SparkSession, path: str | list[str], header: str, schema: T.StructType, keep_corrupt: bool
+) -> DataFrame:
+    """Files that share a header."""
     options = {"emptyValue": "", "multiLine": False, "quote": '"', "escape": '"'}
-    header = _header(spark, path, options)
-    places = {}
-    for place, name in enumerate(header):
-        places.setdefault(name.lstrip("\ufeff"), place)
+    names = next(csv.reader([header]))
+    places: dict[str, int] = {}
+    for place, name in enumerate(names):
+        places.setdefault(name, place)
     absent = [f.name for f in schema.fields if f.name not in places]
     if absent:
         raise ValueError(f"{path} has no column {', '.join(absent)}")
-    texts = T.StructType([T.StructField(f"_{k}", T.StringType()) for k in range(len(header))])
+    texts = T.StructType([T.StructField(f"_{k}", T.StringType()) for k in range(len(names))])
     read = spark.read.csv(path, schema=texts, header=True, enforceSchema=True, **options)
 
     def given(field: T.StructField) -> Column:

@@ -115,10 +115,10 @@ class Workspace:
             self.inputs.plot_registry(), self.states, standardized
         )
 
-    def long(self, align: str = "join") -> DataFrame:
+    def long(self, align: str = "union") -> DataFrame:
         return panel.census_panel_long(*self.plots(), align=align)
 
-    def panel(self, align: str = "join", one_row_per_census: bool = False) -> DataFrame:
+    def panel(self, align: str = "union", one_row_per_census: bool = False) -> DataFrame:
         return panel.panel_with_change(
             *self.plots(),
             self.features(),

@@ -295,7 +295,7 @@ def test_alignments(spark):
     tables3 = _three(spark)
     wide = panel.align_censuses(*tables3)
     assert wide.count() == 4
-    joined = panel.census_panel_long(*tables3)
+    joined = panel.census_panel_long(*tables3, align="join")
     assert joined.count() == 3 * wide.count()
     assert joined.filter(F.col("agb_mgha_1").isNotNull()).count() == 7
     union = panel.census_panel_long(*tables3, align="union")
@@ -314,8 +314,10 @@ def test_panel_and_carbon(spark):
         " state_std string, cve_state int, source_veg_class string",
     )
     tables3 = _three(spark)
-    whole = panel.panel_with_change(*tables3, features, vegetation)
-    one = panel.panel_with_change(*tables3, features, vegetation, one_row_per_census=True)
+    whole = panel.panel_with_change(*tables3, features, vegetation, align="join")
+    one = panel.panel_with_change(
+        *tables3, features, vegetation, align="join", one_row_per_census=True
+    )
     union = panel.panel_with_change(
         *tables3, features, vegetation, align="union", one_row_per_census=True
     )
