@@ -6,9 +6,9 @@ phrase, a 64-bit fingerprint that holds its language; only fingerprints and coun
 Phrases of n words are looked at where both phrases of n - 1 words in them are frequent, as no
 other can be. Frequent fingerprints of each length become a bitmap of a fixed largest size; past
 it more is shuffled, with the same result. A last scan takes the occurrences that the bitmaps
-admit, compares their words byte by byte with those of the occurrence their fingerprint points
-to, and writes out phrases only there: counts are by text, so no collision is left in them.
-Every phrase keeps a pointer to its first occurrence.
+admit, compares them byte by byte with the text that their fingerprint's first occurrence points
+to, and writes out a phrase once a task, with its count and a pointer to its first occurrence.
+Counts are then added by text, so no collision is left in them.
 
 Missing texts are empty, missing languages are ``und``. Repeated rows count each. Texts are
 worked on in slices of a megabyte that overlap by the words a phrase may still need; a single
@@ -38,11 +38,11 @@ SCALE = 2_000_000
 NO_LANGUAGE = "und"
 
 SLICE = 1 << 20
-BUFFER = 3 << 20
+BUFFER = 1 << 20
 # Fingerprints that a task collects before it counts and sends them.
 GATHERED = 3_000_000
-# Phrases that a task counts by text before it sends them.
-COUNTED = 200_000
+# Phrases that a task holds before it sends them.
+COUNTED = 2_000_000
 # Bits in the bitmap of a length: 8 MB.
 MAX_BITS = 1 << 26
 
@@ -50,6 +50,7 @@ _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 _CLEAN = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _SEPARATORS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_SEPARATORS)
 )
+_BLANKS = re.compile(rb"  +")
 _BASE = 0xD1342543DE82EF95
 _STEP = 0x9E3779B97F4A7C15
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
@@ -142,7 +143,88 @@ class Words:
         return np.array([known.setdefault(self.raw[a:b], len(known)) for a, b in pairs])
 
     def text(self, i: int, n: int) -> bytes:
-        return b" ".join(self.raw[self.start[j] : self.end[j]] for j in range(i, i + n))
+        return self.raw[self.start[i] : self.end[i + n - 1]]
+
+
+def _gather(source: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The named stretches of some bytes, one after the other."""
+    before = np.cumsum(length) - length
+    return source[np.arange(length.sum()) + np.repeat(start - before, length)]
+
+
+class Counted:
+    """Phrases of a task by fingerprint: text, count, first occurrence.
+
+    A phrase whose fingerprint is held with another text is counted apart, by its text.
+    """
+
+    NUMBERS = ("n", "lang", "size", "doc", "word", "start", "length")
+    NO_DOC = np.iinfo(np.int64).max
+
+    def __init__(self) -> None:
+        self.fingerprint = np.zeros(0, np.uint64)
+        self.held = {c: np.zeros(0, np.int64) for c in self.NUMBERS}
+        self.bytes = np.zeros(0, np.uint8)
+        self.apart: dict[tuple, list] = {}
+
+    def add(self, fingerprint: np.ndarray, new: dict[str, np.ndarray], source: np.ndarray) -> None:
+        """Add sorted fingerprints; ``start`` and ``length`` of new tell where in source their texts are."""
+        held = self.held
+        at = np.searchsorted(self.fingerprint, fingerprint)
+        known = np.zeros(len(at), bool)
+        inside = at < len(self.fingerprint)
+        known[inside] = self.fingerprint[at[inside]] == fingerprint[inside]
+        rows = np.flatnonzero(known)
+        old = at[rows]
+        same = np.ones(len(rows), bool)
+        for c in ("lang", "size", "length"):
+            same &= held[c][old] == new[c][rows]
+        rows_, old_ = rows[same], old[same]
+        length = new["length"][rows_]
+        equal = _gather(source, new["start"][rows_], length) == _gather(self.bytes, held["start"][old_], length)
+        wrong = np.unique(np.repeat(np.arange(len(rows_)), length)[~equal])
+        good = np.ones(len(rows_), bool)
+        good[wrong] = False
+        same[np.flatnonzero(same)[wrong]] = False
+        rows_, old_ = rows_[good], old_[good]
+        held["n"][old_] += new["n"][rows_]
+        doc, word = new["doc"][rows_], new["word"][rows_]
+        first = (doc < held["doc"][old_]) | ((doc == held["doc"][old_]) & (word < held["word"][old_]))
+        held["doc"][old_[first]], held["word"][old_[first]] = doc[first], word[first]
+        for i in rows[~same].tolist():
+            text = source[new["start"][i] : new["start"][i] + new["length"][i]].tobytes()
+            self.add_apart(text, *(int(new[c][i]) for c in ("lang", "size", "n", "doc", "word")))
+        fresh = np.flatnonzero(~known)
+        added = {c: new[c][fresh] for c in self.NUMBERS}
+        texts = _gather(source, added["start"], added["length"])
+        added["start"] = len(self.bytes) + np.cumsum(added["length"]) - added["length"]
+        self.bytes = np.concatenate([self.bytes, texts])
+        self.fingerprint = np.concatenate([self.fingerprint, fingerprint[fresh]])
+        order = np.argsort(self.fingerprint, kind="stable")
+        self.fingerprint = self.fingerprint[order]
+        self.held = {c: np.concatenate([held[c], added[c]])[order] for c in self.NUMBERS}
+
+    def add_apart(self, text: bytes, lang: int, size: int, n: int, doc: int, word: int) -> None:
+        old = self.apart.get((text, lang, size))
+        self.apart[text, lang, size] = [n, doc, word] if old is None else [old[0] + n, *min(old[1:], [doc, word])]
+
+    def batches(self, languages: list[str]) -> Iterator[pa.RecordBatch]:
+        h = self.held
+        for at in range(0, len(self.fingerprint), 10_000):
+            few = slice(at, at + 10_000)
+            texts = [self.bytes[a : a + b].tobytes() for a, b in zip(h["start"][few].tolist(), h["length"][few].tolist(), strict=True)]
+            yield self._batch(languages, texts, *(h[c][few] for c in ("lang", "size", "n", "doc", "word")))
+        if self.apart:
+            texts, langs, sizes = zip(*self.apart, strict=True)
+            numbers = (np.array(x, np.int64) for x in (langs, sizes, *zip(*self.apart.values(), strict=True)))
+            yield self._batch(languages, list(texts), *numbers)
+
+    def _batch(self, languages, texts, lang, size, n, doc, word) -> pa.RecordBatch:
+        langs = pa.array([languages[i] for i in lang.tolist()], pa.string())
+        phrases = pa.array(texts, pa.binary()).cast(pa.string())
+        doc = pa.array(doc, mask=doc == self.NO_DOC)
+        columns = [langs, pa.array(size.astype(np.int32)), phrases, pa.array(n), doc, pa.array(word)]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "n", "doc_id", "word"])
 
 
 def _buffers(batch: pa.RecordBatch, longest: int, size: int) -> Iterator[tuple[Words, list[str], list]]:
@@ -158,7 +240,7 @@ def _buffers(batch: pa.RecordBatch, longest: int, size: int) -> Iterator[tuple[W
     owners: list = []
     held = 0
     for i in order:
-        data = texts[i].as_py().translate(_CLEAN)
+        data = _BLANKS.sub(b" ", texts[i].as_py().translate(_CLEAN))
         languages.append(langs[i].as_py())
         owners.append(doc_ids[i])
         for part, own in _slices(data, longest, size):
@@ -235,57 +317,44 @@ def count_texts(docs: DataFrame, shared, longest: int, size: int = SLICE) -> Dat
     """
     schema = "lang string, size int, phrase string, n bigint, doc_id bigint, word bigint"
 
-    def batch_of(counted: dict) -> pa.RecordBatch:
-        rows = [(k[0], k[1], k[2].decode(), *v) for k, v in counted.items()]
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "n", "doc_id", "word"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = _read_bitmaps(shared)
-        counted: dict[tuple, list] = {}
-
-        def add(key: tuple, n: int, owner, word: int) -> None:
-            old = counted.get(key)
-            if old is None:
-                counted[key] = [n, owner, word]
-                return
-            old[0] += n
-            if owner is not None and (old[1] is None or (owner, word) < (old[1], old[2])):
-                old[1:] = [owner, word]
-
+        counted, codes = Counted(), {}
         for batch in batches:
             before: dict[int, int] = {}
             for words, languages, owners in _buffers(batch, longest, size):
-                base, seen = _word_numbers(words, len(languages), before)
+                number, seen = _word_numbers(words, len(languages), before)
+                code = np.array([codes.setdefault(x, len(codes)) for x in languages])
+                owner = np.array([Counted.NO_DOC if d is None else d for d in owners], np.int64)
+                for d in np.flatnonzero(seen).tolist():
+                    counted.add_apart(b"", int(code[d]), 0, int(seen[d]), Counted.NO_DOC, 0)
                 if not len(words.start):
                     continue
                 ids = words.word_ids()
-                for d, n_own in enumerate(seen):
-                    if n_own:
-                        add((languages[d], 0, b""), int(n_own), None, 0)
                 for n in range(1, longest + 1):
                     fingerprint, valid = _admitted(words, n, bitmaps)
                     at = np.flatnonzero(valid & _marked(fingerprint, bitmaps[n]))
                     if not len(at):
                         continue
-                    _, first, group = np.unique(fingerprint[at], return_index=True, return_inverse=True)
+                    value, first, group = np.unique(fingerprint[at], return_index=True, return_inverse=True)
                     model = at[first[group]]
                     same = words.language[at] == words.language[model]
                     for j in range(n):
                         same &= ids[at + j] == ids[model + j]
-                    counts = np.bincount(group[same], minlength=len(first))
-                    for i, count in zip(at[first].tolist(), counts.tolist(), strict=True):
-                        d = words.doc[i]
-                        add((languages[d], n, words.text(i, n)), count, owners[d], int(base[i]))
-                    for i in at[~same].tolist():
-                        d = words.doc[i]
-                        add((languages[d], n, words.text(i, n)), 1, owners[d], int(base[i]))
-                if len(counted) > COUNTED:
-                    yield batch_of(counted)
-                    counted.clear()
-        if counted:
-            yield batch_of(counted)
+                    i = at[first]
+                    d, start = words.doc[i], words.start[i]
+                    new = {
+                        "n": np.bincount(group[same], minlength=len(first)), "lang": code[d], "size": np.full(len(i), n),
+                        "doc": owner[d], "word": number[i], "start": start, "length": words.end[i + n - 1] - start,
+                    }
+                    counted.add(value, new, words.bytes)
+                    for k in at[~same].tolist():
+                        d = words.doc[k]
+                        counted.add_apart(words.text(k, n), int(code[d]), n, 1, int(owner[d]), int(number[k]))
+                if len(counted.fingerprint) > COUNTED:
+                    yield from counted.batches(list(codes))
+                    counted = Counted()
+        yield from counted.batches(list(codes))
 
     missing = F.col("doc_id").isNull()
     return (

@@ -82,3 +82,15 @@ def test_words_are_compared_by_text():
     ids = made.word_ids()
     texts = [made.text(i, 1) for i in range(len(ids))]
     assert len(set(zip(texts, ids.tolist(), strict=True))) == len(set(texts)) == len(set(ids.tolist()))
+
+
+def test_equal_fingerprints_with_other_texts_are_counted_apart():
+    held = collocations.Counted()
+    row = lambda n, doc, start, length: {
+        c: np.array([v]) for c, v in zip(held.NUMBERS, (n, 0, 1, doc, 0, start, length), strict=True)
+    }
+    source = np.frombuffer(b"ab cd ab", np.uint8)
+    for n, doc, start in ((3, 9, 0), (2, 5, 3), (4, 7, 6)):
+        held.add(np.array([11], np.uint64), row(n, doc, start, 2), source)
+    rows = [r for b in held.batches(["en"]) for r in b.to_pylist()]
+    assert sorted((r["phrase"], r["n"], r["doc_id"]) for r in rows) == [("ab", 7, 7), ("cd", 2, 5)]
