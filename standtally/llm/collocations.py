@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from standtally.llm.common import join_many_to_one
+from standtally.llm.common import frugal, join_many_to_one
 from standtally.sources.staging import stage
 
 LONGEST = 4
@@ -42,7 +42,10 @@ BUFFER = 1 << 20
 # Fingerprints that a task collects before it counts and sends them.
 GATHERED = 3_000_000
 # Phrases that a task holds before it sends them.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
+# Splits of the input that one task of the last scan reads, where there are many: the more
+# text a task sees, the fewer rows it sends for a phrase.
+SPLITS = 4
 # Bits in the bitmap of a length: 8 MB.
 MAX_BITS = 1 << 26
 
@@ -158,12 +161,16 @@ class Counted:
     A phrase whose fingerprint is held with another text is counted apart, by its text.
     """
 
-    NUMBERS = ("n", "lang", "size", "doc", "word", "start", "length")
+    KINDS = {
+        "n": np.int64, "lang": np.int32, "size": np.int16, "doc": np.int64, "word": np.int64,
+        "start": np.int64, "length": np.int32,
+    }
+    NUMBERS = tuple(KINDS)
     NO_DOC = np.iinfo(np.int64).max
 
     def __init__(self) -> None:
         self.fingerprint = np.zeros(0, np.uint64)
-        self.held = {c: np.zeros(0, np.int64) for c in self.NUMBERS}
+        self.held = {c: np.zeros(0, kind) for c, kind in self.KINDS.items()}
         self.bytes = np.zeros(0, np.uint8)
         self.apart: dict[tuple, list] = {}
 
@@ -202,7 +209,8 @@ class Counted:
         self.fingerprint = np.concatenate([self.fingerprint, fingerprint[fresh]])
         order = np.argsort(self.fingerprint, kind="stable")
         self.fingerprint = self.fingerprint[order]
-        self.held = {c: np.concatenate([held[c], added[c]])[order] for c in self.NUMBERS}
+        for c, kind in self.KINDS.items():
+            held[c] = np.concatenate([held[c], added[c].astype(kind)])[order]
 
     def add_apart(self, text: bytes, lang: int, size: int, n: int, doc: int, word: int) -> None:
         old = self.apart.get((text, lang, size))
@@ -287,7 +295,7 @@ def count_fingerprints(docs: DataFrame, n: int, shared, longest: int, size: int
         if any(map(len, held)):
             yield batch_of(held)
 
-    parts = docs.mapInArrow(run, "fingerprint bigint, n bigint")
+    parts = docs.mapInArrow(frugal(run), "fingerprint bigint, n bigint")
     return parts.groupBy("fingerprint").agg(F.sum("n").alias("n"))
 
 
@@ -357,8 +365,10 @@ def count_texts(docs: DataFrame, shared, longest: int, size: int = SLICE) -> Dat
         yield from counted.batches(list(codes))
 
     missing = F.col("doc_id").isNull()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    fewer = docs.coalesce(max(2 * cores, docs.rdd.getNumPartitions() // SPLITS))
     return (
-        docs.mapInArrow(run, schema)
+        fewer.mapInArrow(frugal(run), schema)
         .groupBy("lang", "size", "phrase")
         .agg(F.sum("n").alias("f"), F.min(F.struct(missing.alias("missing"), "doc_id", "word")).alias("first"))
     )
