@@ -33,15 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standtally.llm.common import join_many_to_one
+from standtally.llm.common import frugal, join_many_to_one
 from standtally.sources.staging import stage
 
 CLASSES = 1024
 SIZE = 16
 ROUNDS = 2
 NOISE = 64
-MINIBATCH = 512
-RATE = 0.2
+MINIBATCH = 1024
+RATE = 0.1
 KNOWN = 200_000
 WORD_BYTES = 64
 SLICE = 1 << 20
@@ -71,6 +71,16 @@ def _tokens(text: bytes) -> Iterator[list[bytes]]:
         at = cut
 
 
+def _pieces(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
+    """As ``_tokens``, each with whether it is the last; a text has one at least."""
+    held: list[bytes] = []
+    for tokens in _tokens(text):
+        if held:
+            yield held, False
+        held = tokens
+    yield held, True
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over all words of (doc_id, text)."""
 
@@ -91,7 +101,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if counted:
             yield batch_of(counted)
 
-    return docs.mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(frugal(run), "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -218,7 +228,7 @@ def _train_round(docs: DataFrame, words: list[bytes], share: np.ndarray, flat: b
 
     schema = "block bigint, tokens bigint, mean binary"
     # Groups hold a thirty-second of the tasks' blocks of 32 KB, and then 32 blocks.
-    salted = docs.mapInArrow(run, schema).withColumn("salt", F.pmod(F.xxhash64("mean"), F.lit(SALTS)))
+    salted = docs.mapInArrow(frugal(run), schema).withColumn("salt", F.pmod(F.xxhash64("mean"), F.lit(SALTS)))
     once = salted.groupBy("block", "salt").applyInPandas(average, schema)
     rows = sorted(once.groupBy("block").applyInPandas(average, schema).collect())
     return b"".join(np.frombuffer(r["mean"]).astype(np.float32).tobytes() for r in rows)
@@ -274,21 +284,18 @@ def _sums(docs: DataFrame, shared, size: int) -> DataFrame:
                 few = batch.slice(at, 200)
                 for doc_id, text in zip(few.column(0).to_pylist(), few.column(1), strict=True):
                     sums, rest, before = np.zeros(6), Counter(), (classes, classes)
-                    for tokens in _tokens(text.as_py()):
-                        if not tokens:
-                            continue
+                    for tokens, last in _pieces(text.as_py()):
                         place = np.fromiter(map(place_of, tokens, repeat(-1)), np.int64, len(tokens))
                         known = place >= 0
-                        ids = class_of[place]
+                        words_ids = class_of[place]
                         rest.update(compress(tokens, ~known))
-                        other = known & (ids == OTHER)
+                        other = words_ids == OTHER
+                        ids = np.append(words_ids, END) if last else words_ids
                         log_class = scorer.log10(*_contexts(ids, before), ids).sum()
-                        log_all, log_other = logs[place[known]].sum(), logs[place[other]].sum()
-                        sums += (len(tokens), known.sum(), (ids == OTHER).sum(), log_all, log_other, log_class)
+                        log_all, log_other = logs[place[known]].sum(), logs[place[known & other]].sum()
+                        sums += (len(tokens), known.sum(), other.sum(), log_all, log_other, log_class)
                         before = tuple(np.concatenate([before, ids])[-2:])
-                    end = np.array([END])
-                    log_end = scorer.log10(*_contexts(end, before), end).sum()
-                    sums += (1, n_end > 0, 0, np.log10(n_end + 1.0), 0, log_end)
+                    sums += (1, n_end > 0, 0, np.log10(n_end + 1.0), 0, 0)
                     numbers = [int(x) for x in sums[:3]]
                     pairs = [{"token": w, "times": n} for w, n in rest.items()]
                     out.append((part, row, doc_id, *numbers, *sums[3:].tolist(), pairs))
@@ -296,7 +303,7 @@ def _sums(docs: DataFrame, shared, size: int) -> DataFrame:
                 columns = zip(zip(*out, strict=True), kinds, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=names)
 
-    return stage(docs.mapInArrow(run, schema), "sums")
+    return stage(docs.mapInArrow(frugal(run), schema), "sums")
 
 
 def score_documents(
