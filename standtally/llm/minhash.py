@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from standtally.llm.common import frugal
 from standtally.llm.components import components
 from standtally.sources.staging import broadcast_if_small, stage
 
@@ -65,6 +66,11 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _GROWN["up"], _GROWN["down"]
 
 
+def _forget_tables() -> None:
+    _GROWN.clear()
+    _GROWN["n"] = 0
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -156,7 +162,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     read = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     return stage(
         read.mapInArrow(
-            run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, bits array<bigint>"
+            frugal(run, _forget_tables), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, bits array<bigint>"
         ),
         "sketches",
     )
@@ -177,7 +183,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     read = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(
         broadcast_if_small(wanted), "doc_id", "left_semi"
     )
-    return stage(read.mapInArrow(run, "doc_id bigint, set array<bigint>").dropDuplicates(["doc_id"]), "full-sets")
+    return stage(read.mapInArrow(frugal(run, _forget_tables), "doc_id bigint, set array<bigint>").dropDuplicates(["doc_id"]), "full-sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -18,6 +18,7 @@ import bisect
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from standtally.llm.common import frugal
 from standtally.sources.staging import stage
 
 CAPACITY = 1024
 END_ID = 2
 # Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+# Runs of white space beyond this go to ``tokenizers``, as the faster merger recurses on them.
+LONG_BLANK = re.compile(r"\s{5000}")
 # Fixed value: how byte-level BPE cuts a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -46,13 +50,12 @@ class Encoder:
     A byte-level BPE never merges across a single blank between two words, so the ids of a
     text are those of its words, each with the blank before it. Words come back often, and
     their ids are remembered. Texts with other white space beside a blank, and texts that
-    hold special tokens, are encoded whole.
+    hold special tokens, are encoded whole, and by ``tokenizers`` itself where a run of white
+    space is very long.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -62,6 +65,13 @@ class Encoder:
         )
         self.seen: dict[str, bytes] = {}
 
+    @cached_property
+    def whole(self):
+        """The complete tokenizer, read when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _merge_table(spec: dict):
         """The same vocabulary for a faster merger, where ids follow the order of merges."""
@@ -88,7 +98,8 @@ class Encoder:
 
     def encode_whole(self, text: str) -> bytes:
         # Beyond the Latin blocks the two libraries' Unicode tables may differ in age.
-        if self.fast and not any(s in text for s in self.special) and (text.isascii() or max(text) < "ɐ"):
+        plain = text.isascii() or max(text) < "ɐ"
+        if self.fast and plain and not any(s in text for s in self.special) and not LONG_BLANK.search(text):
             return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -168,7 +179,7 @@ def tokenize_pieces(
                 )
 
     read = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    return stage(read.mapInArrow(run, PIECES), "pieces")
+    return stage(read.mapInArrow(frugal(run), PIECES), "pieces")
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:

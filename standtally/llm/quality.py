@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from standtally.llm.common import frugal
+
 THRESHOLD = 0.7
 # Labelled rows to learn from, at the most (a sample by hash of the number beyond that).
 TRAIN_ROWS = 40_000
@@ -252,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Tre
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")
         .select(F.col("_label").alias("label"), "text")
-        .mapInArrow(numbers, "label double, x binary")
+        .mapInArrow(frugal(numbers), "label double, x binary")
         .toArrow()
     )
     if not len(rows):
@@ -282,4 +284,4 @@ def score_quality(docs: DataFrame, model: Trees, out: str = "score") -> DataFram
 
     from pyspark.sql import types as T
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType())]))
+    return kept.mapInArrow(frugal(run), T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -82,3 +82,10 @@ def test_fillings_use_every_piece_once(seed):
 def test_two_pieces_replace_the_smallest():
     # Greedy takes 60 and 30; 30 gives way to 25 and 15, which fill the sequence.
     assert packing.best_two_fit({60: 1, 30: 1, 25: 1, 15: 1}, 100)[0] == (1, [60, 25, 15])
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t"])
+def test_very_long_runs_of_white_space(blank):
+    ids, encode = plain_ids(), packing.encoder(PATH).encode
+    for text in (blank * 2_000_000, "a" + blank * 2_000_000 + "b c"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == ids(text)
