@@ -106,6 +106,8 @@ _RAW_SQL = {
     "agb_methods_long": "SELECT source_code, tag, subplot, lat, long, agb_type, agb_value FROM methods",
     "standardize_name": f"SELECT doc_id, {std('text')} AS std_text FROM documents",
     "fold_text": f"SELECT doc_id, {fold('text')} AS folded FROM documents",
+    "fold_text_signs": f"""SELECT doc_id, {fold('s')} AS folded, {std('s')} AS std_text FROM (SELECT doc_id,
+        text || ' Cañón – El’Alto «Ñandú» “Ærø”… ½ ﬁn: ¿Łódź × þorn?' || lang AS s FROM documents)""",
     "clean_nbsp": """SELECT doc_id, lower(lang || ' ' || source || ' ' || replace(text, chr(160), ' ') || ' ' || lang)
         AS cleaned FROM documents""",
     "state_alias": """SELECT c_custkey, CASE WHEN c_nationkey = 8 THEN 'distrito_federal'

@@ -7,11 +7,20 @@ import re
 NB = "chr(160)"
 
 
+# Signs and letters without an accent to strip, and what stands for them.
+_ONE = {"‐‑‒–—―": "-", "‘’‛′ʼ": "'", "“”‟″": '"', "ðđ": "d", "ø": "o", "ł": "l", "ħ": "h", "ı": "i", "ŋ": "n",
+        "ŧ": "t", "ƒ": "f", "ſ": "s", "×": "*", "÷⁄": "/", "¿": "?", "¡": "!", "ª": "a", "º": "o", "‚": ",", "‹": "<", "›": ">"}
+_SEVERAL = [("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ĳ", "ij"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("«", "<<"),
+            ("»", ">>"), ("…", "..."), ("„", ",,"), ("©", "(c)"), ("®", "(r)"), ("¼", " 1/4"), ("½", " 1/2"), ("¾", " 3/4")]
+
+
 def fold(x: str) -> str:
-    """Lower case without accents."""
-    s = f"lower(strip_accents(replace({x}, {NB}, ' ')))"
-    for letter, plain in [("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ø", "o")]:
-        s = f"replace({s}, '{letter}', '{plain}')"
+    """Lower case in ASCII, as far as the two lists go."""
+    signs = "".join(_ONE)
+    plain = "".join(form * len(group) for group, form in _ONE.items()).replace("'", "''")
+    s = f"translate(lower(strip_accents(replace({x}, {NB}, ' '))), '{signs}', '{plain}')"
+    for sign, form in _SEVERAL:
+        s = f"replace({s}, '{sign}', '{form}')"
     return s
 
 

@@ -379,6 +379,14 @@ def _(w: Workspace) -> DataFrame:
     return docs.select("doc_id", text.fold_text("text").alias("folded"))
 
 
+@query("fold_text_signs")
+def _(w: Workspace) -> DataFrame:
+    signs = F.concat("text", F.lit(" Cañón – El’Alto «Ñandú» “Ærø”… ½ ﬁn: ¿Łódź × þorn?"), "lang")
+    return w.inputs.table("documents").select(
+        "doc_id", text.fold_text(signs).alias("folded"), text.standardize_name(signs).alias("std_text")
+    )
+
+
 @query("clean_nbsp")
 def _(w: Workspace) -> DataFrame:
     spaced = F.concat_ws(text.NBSP, "lang", "source", "text", "lang")

@@ -6,6 +6,46 @@ MISSING_TEXT = "NA"
 # Prefix of the public plot key.
 KEY_PREFIX = "INFYS"
 
+# ASCII for letters and signs whose form follows from no Unicode rule. Fixed values.
+ASCII_FORMS = {
+    "¡": "!",
+    "©": "(c)",
+    "«": "<<",
+    "®": "(r)",
+    "»": ">>",
+    "¼": " 1/4",
+    "½": " 1/2",
+    "¾": " 3/4",
+    "¿": "?",
+    "×": "*",
+    "ß": "ss",
+    "æ": "ae",
+    "ð": "d",
+    "÷": "/",
+    "þ": "th",
+    "ı": "i",
+    "ĸ": "q",
+    "ŉ": "'n",
+    "ŋ": "n",
+    "œ": "oe",
+    "ʹ": "'",
+    "ʺ": '"',
+    "ʻ": "'",
+    "ʼ": "'",
+    "ʽ": "'",
+    "‖": "||",
+    "‚": ",",
+    "„": ",,",
+    "′": "'",
+    "″": '"',
+    "‹": "<",
+    "›": ">",
+    "⁄": "/",
+}
+
+# Signs of several letters that names hardly hold.
+RARE_SIGNS = "ŉǆǉǌǳ‖‥‼⁇⁈⁉ﬀﬃﬄﬅﬆ"
+
 # Plot-level constants.
 COUNTRY = "Mexico"
 MINIMUM_DBH_PLOT = 75

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standtally.functions.fixed import KEY_PREFIX, STATE_RENAMES
+from standtally.functions.fixed import ASCII_FORMS, KEY_PREFIX, RARE_SIGNS, STATE_RENAMES
 from standtally.functions.semantics import (
     ColumnOrName,
     as_col,
@@ -19,44 +20,85 @@ from standtally.functions.semantics import (
 
 NBSP = "\u00a0"
 
-# Latin letters that spell out as more than one ASCII letter, or have no base letter.
-SPELLED_OUT = [("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th")]
-NO_BASE_LETTER = [("ø", "o"), ("đ", "d"), ("ð", "d"), ("ł", "l"), ("ħ", "h"), ("ı", "i")]
-
 # A run of anything but letters, marks and digits separates words of a name.
 WORD_BREAK = r"[^\p{L}\p{M}\p{Nd}]+"
 
 
+# Blocks that hold Latin letters, spaces, punctuation and full-width ASCII.
+FOLDED_BLOCKS = [
+    (0x00A0, 0x0300),
+    (0x1E00, 0x1F00),
+    (0x2000, 0x2070),
+    (0x2C60, 0x2C80),
+    (0x3000, 0x3001),
+    (0xFB00, 0xFB07),
+    (0xFF01, 0xFF5F),
+]
+PLAIN_LETTER = re.compile(r"LATIN SMALL LETTER ([A-Z]) WITH ")
+
+
+def ascii_form(sign: str) -> str | None:
+    """ASCII for a lower-case letter or sign, one or more letters; None if it has none.
+
+    Fixed values first; then dashes, spaces and quotation marks by their Unicode category
+    and name, letters by their decomposition or else by the letter in their name.
+    """
+    if sign in ASCII_FORMS:
+        return ASCII_FORMS[sign]
+    kind, name = unicodedata.category(sign), unicodedata.name(sign, "")
+    if kind in ("Zs", "Pd"):
+        return " " if kind == "Zs" else "-"
+    if "QUOTATION MARK" in name and kind in ("Pi", "Pf"):
+        return '"' if "DOUBLE" in name else "'"
+    if kind in ("Ll", "Lo", "Pc", "Pe", "Po", "Ps", "Sm", "Nd", "Sk", "Sc"):
+        parts = unicodedata.normalize("NFKD", sign)
+        base = "".join(c for c in parts if not unicodedata.combining(c))
+        if base.isascii() and parts != sign and not base.startswith(" "):
+            return base
+    named = PLAIN_LETTER.match(name)
+    return named[1].lower() if named else None
+
+
 @cache
-def _accent_tables() -> tuple[str, str]:
-    """Lower-case accented letters and their base letters; combining marks map to nothing."""
-    pairs = list(NO_BASE_LETTER) + [(NBSP, " ")]
-    for code in [*range(0x00E0, 0x0250), *range(0x1E00, 0x1F00)]:
-        letter = chr(code)
-        base = unicodedata.normalize("NFD", letter)[0]
-        if letter == letter.lower() and base != letter and base.isascii() and base.isalpha():
-            pairs.append((letter, base))
-    marks = "".join(chr(code) for code in range(0x0300, 0x0370))
-    return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
-
-
-def fold_text(c: ColumnOrName, space: str = " ") -> Column:
-    """Lower case without accents; ``space`` is written for spaces.
-
-    Plain ASCII text, told by its byte length, skips the letter table.
+def _ascii_tables() -> tuple[str, str, list[tuple[str, str]]]:
+    """Signs and their one ASCII letter, and signs that spell out as several letters.
+
+    Combining marks map to nothing, so they stand after all others of the first.
+    """
+    one, several = [], []
+    for first, end in FOLDED_BLOCKS:
+        for sign in map(chr, range(first, end)):
+            form = ascii_form(sign) if sign == sign.lower() else None
+            if form is not None:
+                (one if len(form) == 1 else several).append((sign, form))
+    marks = "".join(map(chr, range(0x0300, 0x0370)))
+    return "".join(a for a, _ in one) + marks, "".join(b for _, b in one), several
+
+
+def fold_text(c: ColumnOrName, space: str = " ", rare: bool = True) -> Column:
+    """Lower case in ASCII as far as Latin letters and punctuation go; ``space`` is
+    written for spaces. Without ``rare`` the signs of ``RARE_SIGNS`` stay as they are, which
+    keeps the generated code of a large stage below the size that the JVM compiles.
+
+    Plain ASCII text, told by its byte length, skips the tables, and text without a sign
+    of several letters skips their replacement.
     """
     source = F.lower(as_col(c))
-    accented, plain = _accent_tables()
-    folded = F.translate(source, accented, plain)
-    for letter, spelled in SPELLED_OUT:
-        folded = F.replace(folded, F.lit(letter), F.lit(spelled))
+    signs, plain, several = _ascii_tables()
+    several = [pair for pair in several if rare or pair[0] not in RARE_SIGNS]
+    longer = source.rlike("[" + "".join(sign for sign, _ in several) + "]")
+    # Never missing, so that the generated code has no null checks between replacements.
+    spelled = F.coalesce(source, F.lit(""))
+    for sign, form in several:
+        spelled = F.replace(spelled, F.lit(sign), F.lit(form))
+    folded = F.translate(F.when(longer, spelled).otherwise(source), signs, plain)
     out = F.when(F.octet_length(source) == F.char_length(source), source).otherwise(folded)
     return out if space == " " else F.replace(out, F.lit(" "), F.lit(space))
 
 
-def standardize_name(c: ColumnOrName) -> Column:
-    """Lower case without accents, spaces as underscores."""
-    return fold_text(c, space="_")
+def standardize_name(c: ColumnOrName, rare: bool = True) -> Column:
+    """Lower case in ASCII, spaces as underscores; ``rare`` as in ``fold_text``."""
+    return fold_text(c, "_", rare)
 
 
 def state_alias(c: ColumnOrName) -> Column:

@@ -22,7 +22,7 @@ def state_dictionary(trees_c3: DataFrame) -> DataFrame:
             F.col("cve_estado_c3").cast("int").alias("code"), F.col("estado_c3").alias("name")
         )
         .distinct()
-        .withColumn("std_name", state_alias(standardize_name("name")))
+        .withColumn("std_name", state_alias(standardize_name("name", rare=False)))
     )
     aliases = literal_table(
         trees_c3.sparkSession, fixed.STATE_ALIASES, "code int, name string, std_name string"
@@ -63,8 +63,11 @@ def site_samples(wood_samples: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def with_plot_key(df: DataFrame, plot: str, state_name: str, states: DataFrame) -> DataFrame:
-    """Add ``std_state``, ``state_id`` and ``source_code`` from plot number and state name."""
-    named = df.withColumn("std_state", standardize_name(state_name))
+    """Add ``std_state``, ``state_id`` and ``source_code`` from plot number and state name.
+
+    State names keep ``RARE_SIGNS``, here and in the dictionary of states.
+    """
+    named = df.withColumn("std_state", standardize_name(state_name, rare=False))
     return lookup_first(
         named, "std_state", states, "std_name", "code", out="state_id"
     ).withColumn("source_code", plot_key(plot, "state_id"))
