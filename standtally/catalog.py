@@ -587,7 +587,7 @@ def _density(k: int, strategy: str) -> Build:
             epithet=CENSUSES[k].epithet,
             strategy=strategy,
             level_by=CENSUSES[k].level_by,
-            names=w.names(k),
+            codes=w.codes(k, strategy),
         )
         columns = ["source_code", "tag_number", "subplot", "full_species", "family"]
         return rounded(dense.select(*columns, "wood_density", "level_wd"), 6, "wood_density")
@@ -617,14 +617,14 @@ def _(w: Workspace) -> DataFrame:
 
 @query("name_densities")
 def _(w: Workspace) -> DataFrame:
-    names = over_censuses(lambda k: w.names(k).withColumn("census", F.lit(k)))
+    names = over_censuses(lambda k: w.codes(k).names.withColumn("census", F.lit(k)))
     return rounded(names, 6, "global_wd")
 
 
 def _tree_agb(k: int) -> Build:
     def build(w: Workspace) -> DataFrame:
         spec = CENSUSES[k]
-        out = trees.tree_agb(w.raw_trees(k), spec, w.refs, names=w.names(k))
+        out = trees.tree_agb(w.raw_trees(k), spec, w.refs, codes=w.codes(k))
         extra = ["collection_code"] if k == 3 else []
         return rounded(
             out.select(

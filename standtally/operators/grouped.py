@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from standtally.functions.semantics import count_distinct_na, text_or_na
+from standtally.operators.skew import join_unique
+from standtally.sources.staging import stage
 
 
 def distinct_concat(c: str | Column, sep: str = ";", keep_na: bool = True) -> Column:
@@ -36,11 +38,28 @@ def windowed_distinct_count(df: DataFrame, key: str, value: str, out: str) -> Da
 def group_concat_broadcast(
     df: DataFrame, key: str, columns: dict[str, str], sep: str = "/"
 ) -> DataFrame:
-    """Per key, the sorted distinct non-missing values of each column on every row."""
-    texts = df.groupBy(key).agg(
-        *[distinct_concat(c, sep, keep_na=False).alias(out) for c, out in columns.items()]
+    """Per key, the sorted distinct non-missing values of each column on every row.
+
+    The rows are stored once, as they may be the result of a long plan. Values fold to
+    distinct ones on the map side, each column apart, so a key's text is bounded by its
+    distinct values; rows of hot keys meet their texts by broadcast. Runs jobs.
+    """
+    whole = stage(df, "grouped")
+    places = range(len(columns))
+    values = F.array(
+        *[
+            F.struct(F.lit(i).alias("_place"), F.col(c).cast("string").alias("_value"))
+            for i, c in zip(places, columns, strict=True)
+        ]
+    )
+    distinct = whole.select(key, F.inline(values)).distinct()
+    texts = distinct.groupBy(key).agg(
+        *[
+            distinct_concat(F.when(F.col("_place") == i, F.col("_value")), sep, keep_na=False).alias(out)
+            for i, out in zip(places, columns.values(), strict=True)
+        ]
     )
-    return join_back(df, texts, key)
+    return join_unique(whole, texts, [key])
 
 
 def row_checks(stages: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:

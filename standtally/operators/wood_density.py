@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from standtally.functions import fixed
 from standtally.functions.semantics import exact_mean, nulls_last, paste
 from standtally.sources.staging import fits_broadcast, stage
 
-# Stands for a missing taxon inside a map; no name contains a control character.
-NO_TAXON = "\u0001"
-
 SITE_LEVELS = {"species": "full_species", "genus": "genus", "family": "family"}
 
 
@@ -88,47 +85,9 @@ def _add_global_joined(trees: DataFrame, levels: DataFrame, epithet: str) -> Dat
     )
 
 
-def nest_genera(levels: DataFrame) -> DataFrame:
-    """Genera with their mean and a map of their species' means."""
-    level = F.col("level")
-    return (
-        levels.filter(level != "family")
-        .groupBy(F.col("genus").alias("_genus"))
-        .agg(
-            _taxon_map(F.when(level == "species", F.col("taxon"))).alias("_species"),
-            F.max(F.when(level == "genus", F.col("wd"))).alias("_wd_genus"),
-        )
-    )
-
-
-def _add_global_nested(
-    trees: DataFrame, levels: DataFrame, genera: DataFrame, epithet: str
-) -> DataFrame:
-    """Global means from two small broadcasts: genera with their species, and families."""
-    families = levels.filter(F.col("level") == "family").select(
-        F.col("taxon").alias("_family"), F.col("wd").alias("_wd_family")
-    )
-    return (
-        trees.join(F.broadcast(genera), F.col("genus") == F.col("_genus"), "left")
-        .join(F.broadcast(families), F.col("family") == F.col("_family"), "left")
-        .withColumn("_wd_species", F.element_at("_species", F.col(epithet)))
-        .drop("_genus", "_family", "_species")
-    )
-
-
-def add_own_density(
-    trees: DataFrame, levels: DataFrame, genera: DataFrame | None, epithet: str = "species"
-) -> DataFrame:
-    """Add ``own_wd`` and ``own_level`` of the finest level that covers a row's own taxon.
-
-    ``genera`` is the nested form of ``levels``, given only when they passed the
-    broadcast check.
-    """
-    found = (
-        _add_global_joined(trees, levels, epithet)
-        if genera is None
-        else _add_global_nested(trees, levels, genera, epithet)
-    )
+def add_own_density(trees: DataFrame, levels: DataFrame, epithet: str = "species") -> DataFrame:
+    """Add ``own_wd`` and ``own_level`` of the finest level that covers a row's own taxon."""
+    found = _add_global_joined(trees, levels, epithet)
     means = {level: F.col(f"_wd_{level}") for level in ("species", "genus", "family")}
     label = F
     for level, wd in means.items():
@@ -151,7 +110,7 @@ def name_densities(trees: DataFrame, levels: DataFrame, epithet: str = "species"
     first = F.min_by(taxon, F.struct(*nulls_last("genus", "epithet", "family"))).alias("_taxon")
     named = taxa.groupBy(paste("genus", "epithet").alias("name")).agg(first).select("name", "_taxon.*")
     return stage(
-        add_own_density(named, levels, None, "epithet").select(
+        add_own_density(named, levels, "epithet").select(
             "name", F.col("own_wd").alias("global_wd"), F.col("own_level").alias("global_level")
         ),
         "name-densities",
@@ -178,12 +137,6 @@ def global_wood_density(
     return add_name_density(trees, names, fits_broadcast(names))
 
 
-def _taxon_map(taxon: Column) -> Column:
-    """Aggregate: taxon to density. Only for tables that passed the broadcast check."""
-    entries = F.collect_list(F.when(taxon.isNotNull(), F.struct(taxon, F.col("wd"))))
-    return F.map_from_entries(entries)
-
-
 def _add_site_joined(trees: DataFrame, levels: DataFrame) -> DataFrame:
     """Site means by one left join per level, matching missing taxa to missing taxa."""
     out = trees
@@ -198,56 +151,125 @@ def _add_site_joined(trees: DataFrame, levels: DataFrame) -> DataFrame:
     return out
 
 
-def nest_sites(levels: DataFrame) -> DataFrame:
-    """Sites with one map per level from taxon to mean."""
-    named = F.coalesce(F.col("taxon"), F.lit(NO_TAXON))
-    return levels.groupBy(F.col("source_code").alias("_site")).agg(
-        *[
-            _taxon_map(F.when(F.col("level") == level, named)).alias(f"_map_{level}")
-            for level in SITE_LEVELS
-        ]
-    )
-
-
-def _add_site_nested(trees: DataFrame, sites: DataFrame) -> DataFrame:
-    """Site means from one small broadcast that nests the taxa of a site.
-
-    One probe instead of three keeps the generated code of the tree stage small enough
-    to be compiled.
-    """
-    out = trees.join(F.broadcast(sites), F.col("source_code") == F.col("_site"), "left")
-    return out.withColumns(
-        {
-            f"_site_{level}": F.element_at(
-                f"_map_{level}", F.coalesce(F.col(taxon), F.lit(NO_TAXON))
-            )
-            for level, taxon in SITE_LEVELS.items()
-        }
-    ).drop("_site", *[f"_map_{level}" for level in SITE_LEVELS])
-
-
 @dataclass(frozen=True)
 class DensityTables:
-    """Staged density means; the nested forms exist only below the broadcast bound."""
+    """Staged density means, and whether they may be broadcast."""
 
     site_levels: DataFrame
     global_levels: DataFrame
-    sites: DataFrame | None
-    genera: DataFrame | None
+    small: bool
 
 
 def density_tables(
     samples: DataFrame, global_wd: DataFrame, region: str | None = None
 ) -> DensityTables:
-    """Stage the site and global means, count their rows, and nest them if small."""
+    """Stage the site and global means and check their size."""
     site_levels = stage(site_density_levels(samples), "site-density")
     global_levels = stage(global_density_levels(global_wd, region), "global-density")
     small = fits_broadcast(site_levels) and fits_broadcast(global_levels)
-    return DensityTables(
-        site_levels,
-        global_levels,
-        stage(nest_sites(site_levels), "nested-sites") if small else None,
-        stage(nest_genera(global_levels), "nested-genera") if small else None,
+    return DensityTables(site_levels, global_levels, small)
+
+
+def coded(df: DataFrame, keys: dict[str, str], values: list[str]) -> DataFrame:
+    """Values under a whole-number code of their keys: ``_code, _k_..., values``.
+
+    ``keys`` names, for each column of the rows to be looked up, the column of ``df``.
+    """
+    return df.select(
+        F.xxhash64(*keys.values()).alias("_code"),
+        *[F.col(column).alias(f"_k_{key}") for key, column in keys.items()],
+        *values,
+    )
+
+
+def probe(df: DataFrame, codes: DataFrame, small: bool) -> DataFrame:
+    """Left join with a coded table by its code alone; a missing key part matches a missing one.
+
+    Keys are compared as texts only where codes agree, so equal codes of different keys
+    find nothing wrong.
+    """
+    keys = [c.removeprefix("_k_") for c in codes.columns if c.startswith("_k_")]
+    on = F.col("_at") == F.col("_code")
+    for key in keys:
+        mine, other = F.col(key), F.col(f"_k_{key}")
+        on = on & F.coalesce(mine == other, mine.isNull() & other.isNull())
+    marked = df.withColumn("_at", F.xxhash64(*keys))
+    return marked.join(F.broadcast(codes) if small else codes, on, "left").drop(
+        "_at", "_code", *[f"_k_{key}" for key in keys]
+    )
+
+
+@dataclass(frozen=True)
+class CodedDensities:
+    """A census' densities by coded taxon, staged.
+
+    Small ones are two tables to broadcast, ``sited`` by site and taxon and ``taxa`` by taxon
+    alone. Others are one table, ``sited``, by plot and taxon; then ``taxa`` is missing.
+    """
+
+    names: DataFrame
+    sited: DataFrame
+    taxa: DataFrame | None
+
+
+def census_taxa(trees: DataFrame, sites: DataFrame | None, epithet: str) -> DataFrame:
+    """The distinct ``source_code, full_species, genus, epithet, family`` of a census, staged.
+
+    With ``sites``, a small table of plot codes, other plots are not told apart, so the
+    result is bounded by the taxa of those sites and of the census.
+    """
+    place = F.col("source_code")
+    if sites is not None:
+        side = F.broadcast(sites.select(F.col("source_code").alias("_site")).distinct())
+        trees, place = trees.join(side, place == F.col("_site"), "left"), F.col("_site")
+    return stage(
+        trees.select(
+            place.alias("source_code"), "full_species", "genus", F.col(epithet).alias("epithet"), "family"
+        ).distinct(),
+        "census-taxa",
+    )
+
+
+def coded_densities(
+    trees: DataFrame,
+    tables: DensityTables,
+    epithet: str = "species",
+    strategy: str = "auto",
+    level_by: str = "name",
+) -> CodedDensities:
+    """Resolve the cascade once per distinct taxon of a census; one scan of the trees. Runs jobs."""
+    small = tables.small and strategy == "auto"
+    seen = census_taxa(trees, tables.site_levels if small else None, epithet)
+    names = name_densities(seen, tables.global_levels, "epithet")
+    by_site = {k: k for k in ("source_code", "full_species", "genus", "family")}
+    by_taxon = {"full_species": "full_species"}
+    if level_by == "position":
+        by_taxon |= {"genus": "genus", epithet: "epithet", "family": "family"}
+
+    def with_site(df: DataFrame) -> DataFrame:
+        means = [f"_site_{level}" for level in SITE_LEVELS]
+        return _add_site_joined(df, tables.site_levels).withColumn("site_wd", F.coalesce(*means)).drop(*means)
+
+    def with_global(df: DataFrame) -> DataFrame:
+        found = add_name_density(df, names, False)
+        if level_by == "position":
+            found = add_own_density(found, tables.global_levels, "epithet").withColumn("global_level", F.col("own_level"))
+        return found
+
+    if small:
+        at_sites = seen.filter(F.col("source_code").isNotNull()).select(*by_site).distinct()
+        sited = stage(
+            coded(with_site(at_sites).filter(F.col("site_wd").isNotNull()), by_site, ["site_wd"]), "sited-codes"
+        )
+        found = with_global(seen.select(*by_taxon.values()).distinct()).filter(F.col("global_wd").isNotNull())
+        taxa = stage(coded(found, by_taxon, ["global_wd", "global_level"]), "taxon-codes")
+        if fits_broadcast(sited) and fits_broadcast(taxa):
+            return CodedDensities(names, sited, taxa)
+        return coded_densities(trees, tables, epithet, "shuffle", level_by)
+    keys = by_site | by_taxon
+    whole = with_global(with_site(seen.select(*keys.values()).distinct()))
+    return CodedDensities(
+        names, stage(coded(whole, keys, ["site_wd", "global_wd", "global_level"]), "plot-codes"), None
     )
 
 
@@ -258,56 +280,34 @@ def assign_wood_density(
     epithet: str = "species",
     strategy: str = "auto",
     level_by: str = "name",
-    names: DataFrame | None = None,
+    codes: CodedDensities | None = None,
 ) -> DataFrame:
     """Add ``wood_density`` (never missing) and ``level_wd`` to every tree.
 
     Densities of the table are found by full name, among the names of the census. Their
     level is that of the name, or with ``level_by="position"`` that of the tree's own taxon,
-    which may be missing. ``names`` is the staged result of ``name_densities`` if there is
-    one; else it is built here, which runs jobs.
+    which may be missing. ``codes`` is the result of ``coded_densities`` if there is one;
+    else it is built here, which runs jobs.
 
-    Small tables are broadcast and trees never move. Beyond the bound, or with
-    ``strategy="shuffle"``, the cascade is resolved once per distinct taxon of a plot,
-    which map-side combine keeps far below the tree count, and trees shuffle once, on
-    plot and taxon together, so that one hot plot spreads over its taxa.
+    The cascade is resolved per distinct taxon, and trees probe the result by one whole
+    number. Small tables are broadcast and trees never move. Beyond the bound, or with
+    ``strategy="shuffle"``, trees shuffle once, on the code of plot and taxon together, so
+    that one hot plot spreads over its taxa.
     """
-    if names is None:
-        names = name_densities(trees, tables.global_levels, epithet)
-    small = tables.sites is not None and strategy == "auto" and fits_broadcast(names)
-
-    def resolve(df: DataFrame) -> DataFrame:
-        sited = (
-            _add_site_nested(df, tables.sites) if small else _add_site_joined(df, tables.site_levels)
-        )
-        means = [f"_site_{level}" for level in SITE_LEVELS]
-        sited = sited.withColumn("site_wd", F.coalesce(*[F.col(m) for m in means])).drop(*means)
-        found = add_name_density(sited, names, small)
-        level = F.col("global_level")
-        if level_by == "position":
-            found = add_own_density(found, tables.global_levels, tables.genera if small else None, epithet)
-            level = F.col("own_level")
-        return found.withColumns(
-            {
-                "wood_density": F.coalesce("site_wd", "global_wd", F.lit(default)),
-                "level_wd": F.when(F.col("site_wd").isNotNull(), F.lit(fixed.LEVEL_SITE))
-                .when(F.col("global_wd").isNull(), F.lit(fixed.LEVEL_DEFAULT))
-                .otherwise(level),
-            }
-        ).drop("site_wd", "global_wd", "global_level", "own_wd", "own_level")
-
+    if codes is None:
+        codes = coded_densities(trees, tables, epithet, strategy, level_by)
+    small = codes.taxa is not None
+    found = probe(trees, codes.sited, small)
     if small:
-        return resolve(trees)
-    keys = ["source_code", "full_species", "genus", "family"]
-    if level_by == "position" and epithet not in keys:
-        keys.append(epithet)
-    resolved = resolve(trees.select(*keys).distinct()).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], "wood_density", "level_wd"
-    )
-    on = F.col("source_code") == F.col("_k_source_code")
-    for k in keys[1:]:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return trees.join(resolved, on, "left").drop(*[f"_k_{k}" for k in keys])
+        found = probe(found, codes.taxa, small)
+    return found.withColumns(
+        {
+            "wood_density": F.coalesce("site_wd", "global_wd", F.lit(default)),
+            "level_wd": F.when(F.col("site_wd").isNotNull(), F.lit(fixed.LEVEL_SITE))
+            .when(F.col("global_wd").isNull(), F.lit(fixed.LEVEL_DEFAULT))
+            .otherwise(F.col("global_level")),
+        }
+    ).drop("site_wd", "global_wd", "global_level")
 
 
 def wood_density_cascade(

@@ -15,7 +15,7 @@ from standtally.functions.allometry import (
 )
 from standtally.functions.semantics import as_col, ifelse3, round_half_up, token_to_number
 from standtally.functions.text import parse_species, public_key
-from standtally.operators.wood_density import assign_wood_density
+from standtally.operators.wood_density import CodedDensities, assign_wood_density
 from standtally.plans.refs import Refs, with_plot_key
 from standtally.plans.spec import CensusSpec
 
@@ -81,11 +81,11 @@ def all_trees(
     refs: Refs,
     strategy: str = "auto",
     literal: bool = False,
-    names: DataFrame | None = None,
+    codes: CodedDensities | None = None,
 ) -> DataFrame:
     """Every tree row with density and biomass, unmeasured trees included.
 
-    ``names`` is the census' dictionary of densities by name, if it was built before.
+    ``codes`` are the census' densities by coded taxon, if they were built before.
     """
     dense = assign_wood_density(
         keyed_trees(raw, spec, refs, literal),
@@ -93,7 +93,7 @@ def all_trees(
         epithet=spec.epithet,
         strategy=strategy,
         level_by=spec.level_by,
-        names=names,
+        codes=codes,
     )
     return dense.withColumns(biomass_columns(spec))
 
@@ -104,13 +104,13 @@ def tree_agb(
     refs: Refs,
     strategy: str = "auto",
     literal: bool = False,
-    names: DataFrame | None = None,
+    codes: CodedDensities | None = None,
 ) -> DataFrame:
     """Tree table of one census with biomass estimates.
 
     In the third census only trees with a diameter stay and keys carry their prefix.
     """
-    trees = all_trees(raw, spec, refs, strategy, literal, names)
+    trees = all_trees(raw, spec, refs, strategy, literal, codes)
     extra: list[str] = []
     if spec.state_from_code:
         trees = trees.filter(F.col("diameter").isNotNull()).withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standtally.operators.lookup import lookup_first
-from standtally.operators.wood_density import name_densities
+from standtally.operators.wood_density import CodedDensities, coded_densities
 from standtally.plans import census, metadata, panel, refs, trees
 from standtally.plans.refs import Refs
 from standtally.plans.spec import CENSUSES
@@ -26,7 +26,7 @@ class Workspace:
         self.inputs = DerivedInventory(spark, folder)
         self._trees: dict[int, DataFrame] = {}
         self._plots: dict[int, DataFrame] = {}
-        self._names: dict[int, DataFrame] = {}
+        self._codes: dict[tuple[int, str], CodedDensities] = {}
 
     def raw_trees(self, k: int) -> DataFrame:
         """The tree table of one census, ingested once."""
@@ -68,15 +68,17 @@ class Workspace:
             named, "scientific_name", spec.unknown_marks, hybrid=spec.hybrid, literal=literal
         )
 
-    def names(self, k: int) -> DataFrame:
-        """Densities by name of one census, built once."""
-        if k not in self._names:
-            levels = self.refs.densities.global_levels
-            self._names[k] = name_densities(self.keyed(k), levels, CENSUSES[k].epithet)
-        return self._names[k]
+    def codes(self, k: int, strategy: str = "auto") -> CodedDensities:
+        """Densities by coded taxon of one census, built once."""
+        if (k, strategy) not in self._codes:
+            spec = CENSUSES[k]
+            self._codes[k, strategy] = coded_densities(
+                self.keyed(k), self.refs.densities, spec.epithet, strategy, spec.level_by
+            )
+        return self._codes[k, strategy]
 
     def all_trees(self, k: int) -> DataFrame:
-        return trees.all_trees(self.raw_trees(k), CENSUSES[k], self.refs, names=self.names(k))
+        return trees.all_trees(self.raw_trees(k), CENSUSES[k], self.refs, codes=self.codes(k))
 
     def disturbed(self, k: int) -> DataFrame:
         return metadata.disturbance_full_join(
