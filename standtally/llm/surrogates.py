@@ -9,7 +9,13 @@ that is never routed, a name after a male or female form of address is male or f
 An entity's surrogate depends on the key, its type and its normal form (a telephone number's
 digits, a mail address in lower case), so all mentions in the corpus change alike. Surrogates
 of different entities are checked against each other and against all entities found; those
-that collide are drawn anew until none do.
+that collide are drawn anew. Where a form of entity is so crowded that some still collide after
+``ROUNDS`` draws, as when a corpus holds all numbers of a length, these exchange their texts
+among themselves in a keyed order: each gets another's, so all stay distinct.
+
+A name found after a form of address is replaced wherever it stands as a word in that text,
+written alike. Where two mentions share a word as given name and surname, bare words follow the
+first of them.
 
 Everything is built-in expressions: no Python runs on the executors. Missing texts stay
 missing, texts without entities stay as they are, byte for byte. Repeated rows change alike.
@@ -21,7 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standtally.sources.staging import broadcast_if_small, stage
+from standtally.llm.common import join_many_to_one
+from standtally.operators.ranking import dense_rank_keys
+from standtally.sources.staging import broadcast_if_small, fits_broadcast, stage
+
+KEY_SETTING = "spark.standtally.surrogateKey"
+ROUNDS = 12
+TASK_ROWS = 5000
 
 MALE = r"Mr|Herrn?|Señor|Monsieur|г-н"
 FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Madame|Mme|г-жа"
@@ -125,8 +137,7 @@ def _spelt(raw: Column, stream: Column, kind: Column) -> Column:
     Digits are counted apart from other characters, so that a number spelt with other
     separators gets the same digits.
     """
-    prefix = F.length(F.regexp_extract(raw, r"^\+?(\d{0,3})(?=[ .-]?\(|[ .-])", 1))
-    kept = F.when((kind == "phone") & raw.startswith("+"), prefix).otherwise(0)
+    kept = kept_prefix(raw, kind)
 
     def letter(c: Column, digit: Column, alphabet: str) -> Column:
         spelt = F.translate(digit, HEX, alphabet)
@@ -233,51 +244,138 @@ def surrogate(raw: Column, kind: Column, form: Column, attempt: Column, key: str
     )
 
 
-def draw(entities: DataFrame, key: str, rounds: int = 30) -> DataFrame:
-    """(kind, form, sample, attempt): each entity's first draw that meets no other.
+def kept_prefix(raw: Column, kind: Column) -> Column:
+    """How many leading digits of a mention stay: the country code of a telephone number."""
+    prefix = F.length(F.regexp_extract(raw, r"^\+?(\d{0,3})(?=[ .-]?\(|[ .-])", 1))
+    return F.when((kind == "phone") & raw.startswith("+"), prefix).otherwise(0)
+
+
+SCRIPTS = {"IsGreek": "α", "IsCyrillic": "а", "IsHan": "王", "IsHiragana": "ア", "IsKatakana": "ア", "IsHangul": "가"}
+
+
+def shape_of(kind: Column, form: Column, sample: Column) -> Column:
+    """What entities that may exchange their texts have in common: all but digits and letters
+    other than country codes, and whether a card number is valid."""
+    kept = kept_prefix(sample, kind)
+    digits = F.concat(
+        F.substr(form, F.lit(1), kept), F.regexp_replace(F.substr(form, kept + 1, F.length(form)), r"\p{Nd}", "0")
+    )
+    valid = F.when(kind == "card", (_luhn(F.regexp_replace(form, r"\D", "")) == 0).cast("string")).otherwise("")
+    spelt = form
+    for script, letter in SCRIPTS.items():
+        spelt = F.regexp_replace(spelt, rf"\p{{{script}}}", letter)
+    return (
+        F.when(kind.isin("phone", "card", "ssn", "iban"), F.concat_ws(" ", digits, valid))
+        .when(kind == "ipv4", "")
+        .otherwise(F.regexp_replace(F.regexp_replace(spelt, r"\p{IsLatin}", "a"), r"\p{Nd}", "0"))
+    )
+
+
+def written_over(raw: Column, kind: Column, other: Column) -> Column:
+    """A mention with the letters and digits of another entity's normal form."""
+    title = F.regexp_extract(raw, rf"^({TITLE} )", 1)
+    body = F.substr(raw, F.length(title) + 1, F.length(raw))
+    signs = F.split(F.regexp_replace(other, r"[^\p{L}\p{Nd}]", ""), "")
+
+    def one(c: Column, i: Column) -> Column:
+        nth = F.length(F.regexp_replace(F.substr(body, F.lit(1), i + 1), r"[^\p{L}\p{Nd}]", ""))
+        sign = F.get(signs, nth - 1)
+        cased = F.when(c == F.lower(c), sign).otherwise(F.upper(sign))
+        return F.when(c.rlike(r"^[\p{L}\p{Nd}]$"), cased).otherwise(c)
+
+    return F.when(kind == "ipv4", other).otherwise(
+        F.concat(title, F.array_join(F.transform(F.split(body, ""), one), ""))
+    )
+
+
+def exchanged(judged: DataFrame, key: str) -> DataFrame:
+    """(kind, form, other): the entities that clash to the last, each with the next one's form
+    in a keyed order of its kind and shape. One that is alone there meets one that has a
+    surrogate already, which then gives it up."""
+    order = F.concat(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "form"), 256), F.lit(":"), F.col("form"))
+    shaped = stage(
+        judged.select(
+            "kind", "form", "clash", shape_of(F.col("kind"), F.col("form"), F.col("sample")).alias("shape"),
+            order.alias("order"),
+        ),
+        "shapes",
+    )
+    groups = shaped.groupBy("kind", "shape").agg(
+        F.count_if("clash").alias("clashes"), F.min(F.when(~F.col("clash"), F.col("order"))).alias("partner")
+    )
+    groups = stage(groups.filter("clashes > 0"), "shapes")
+    lost = groups.filter("clashes = 1 and partner is null").count()
+    if lost:
+        raise RuntimeError(f"{lost} entities are the only ones of their form and found no surrogate")
+    taking = stage(
+        shaped.join(broadcast_if_small(groups), ["kind", "shape"])
+        .filter("clash or (clashes = 1 and order = partner)")
+        .select("kind", "shape", "order", "form"),
+        "exchanging",
+    )
+    ranked = dense_rank_keys(taking, ["kind", "shape"], "order", "n")
+    numbered = stage(taking.join(ranked, ["kind", "shape", "order"]), "exchanging")
+    last = numbered.groupBy("kind", "shape").agg(F.max("n").alias("last"))
+    after = numbered.select("kind", "shape", F.col("n").alias("next"), F.col("form").alias("other"))
+    turned = numbered.join(broadcast_if_small(last), ["kind", "shape"]).withColumn(
+        "next", F.when(F.col("n") == F.col("last"), 1).otherwise(F.col("n") + 1)
+    )
+    return turned.join(after, ["kind", "shape", "next"]).select("kind", "form", "other")
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Rows that cost milliseconds each, over tasks of at most ``TASK_ROWS``, two a core at least."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(2 * cores, rows // TASK_ROWS + 1))
+
+
+def draw(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, form, sample, attempt, other): each entity's first draw that meets no other.
 
     Surrogates are compared in their normal form. Of several entities with one surrogate the
     first in order keeps it; the others draw anew, and so does one whose surrogate is itself
-    an entity of the corpus. Only the number of those is known to the driver.
+    an entity of the corpus. ``other`` is the entity whose text those take over that still
+    clash in the end, else missing. Only numbers of rows are known to the driver.
     """
-    current = entities.withColumn("attempt", F.lit(0))
-    for _ in range(rounds):
+    entities = stage(entities, "entities")
+    n = entities.count()
+    current = entities.withColumns(
+        {"attempt": F.lit(0), "clash": F.lit(True), "result": F.lit(None).cast("string")}
+    )
+    for turn in range(rounds):
+        again = normal_form(
+            F.col("kind"), surrogate(F.col("sample"), F.col("kind"), F.col("form"), F.col("attempt"), key)
+        )
         drawn = stage(
-            current.withColumn(
-                "result",
-                normal_form(
-                    F.col("kind"), surrogate(F.col("sample"), F.col("kind"), F.col("form"), F.col("attempt"), key)
-                ),
-            ),
+            spread(current, n).withColumn("result", F.when(F.col("clash"), again).otherwise(F.col("result"))).drop("clash"),
             "surrogates",
         )
         held = drawn.groupBy("kind", "result").agg(F.min("form").alias("holder"))
         real = drawn.select("kind", F.col("form").alias("result"), F.lit(True).alias("real"))
-        judged = (
-            drawn.join(held, ["kind", "result"])
-            .join(real, ["kind", "result"], "left")
-            .withColumn("clash", (F.col("holder") != F.col("form")) | F.coalesce("real", F.lit(False)))
-        )
+        clash = (F.col("holder") != F.col("form")) | F.coalesce("real", F.lit(False))
+        judged = drawn.join(held, ["kind", "result"]).join(real, ["kind", "result"], "left").withColumn("clash", clash)
+        more = F.col("clash").cast("int") if turn + 1 < rounds else F.lit(0)
         current = stage(
-            judged.select(
-                "kind", "form", "sample", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"), "clash"
-            ),
+            judged.select("kind", "form", "sample", (F.col("attempt") + more).alias("attempt"), "clash", "result"),
             "surrogates",
         )
-        clashes = current.filter("clash").count()
-        current = current.drop("clash")
-        if not clashes:
-            return current
-    raise RuntimeError(f"{clashes} entities without a surrogate of their own after {rounds} draws")
+        if not current.filter("clash").count():
+            return current.select("kind", "form", "sample", "attempt", F.lit(None).cast("string").alias("other"))
+    took = exchanged(current, key)
+    return stage(
+        current.join(took, ["kind", "form"], "left").select("kind", "form", "sample", "attempt", "other"), "surrogates"
+    )
 
 
-def replace_entities(docs: DataFrame, key: str = "standtally") -> DataFrame:
+def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with surrogates in ``text``, and a struct ``pii``.
 
     ``pii`` counts the mentions and names their kinds. Only texts with entities are moved:
     distinct texts give their mentions, the mentions meet their entities' draws, and the
-    finished list of a text comes back to the rows that hold it.
+    finished list of a text comes back to the rows that hold it. Without ``key`` the session's
+    setting ``KEY_SETTING`` is the key. Runs jobs.
     """
+    key = docs.sparkSession.conf.get(KEY_SETTING, "standtally") if key is None else key
     given = [c for c in docs.columns if c != "pii"]
     dirty_text = may_hold_entities(F.col("text")) & F.col("text").rlike(ENTITY)
     none = F.struct(F.lit(0).cast("bigint").alias("n_entities"), F.lit("").alias("kinds"))
@@ -297,27 +395,51 @@ def replace_entities(docs: DataFrame, key: str = "standtally") -> DataFrame:
         "mentions",
     )
     entities = mentions.groupBy("kind", "form").agg(F.min("raw").alias("sample"))
-    drawn = draw(entities, key)
-    lists = (
-        mentions.join(broadcast_if_small(drawn.select("kind", "form", "attempt")), ["kind", "form"])
-        .withColumn(
-            "new", surrogate(F.col("raw"), F.col("kind"), F.col("form"), F.col("attempt"), key)
-        )
+    drawn = draw(entities, key).drop("sample")
+    spellings = stage(mentions.select("kind", "form", "raw").distinct(), "spellings")
+    own = surrogate(F.col("raw"), F.col("kind"), F.col("form"), F.col("attempt"), key)
+    taken = written_over(F.col("raw"), F.col("kind"), F.col("other"))
+    changes = stage(
+        spread(spellings.join(broadcast_if_small(drawn), ["kind", "form"]), spellings.count()).select(
+            "raw", "kind", F.when(F.col("other").isNull(), own).otherwise(taken).alias("new")
+        ),
+        "changes",
+    )
+    if fits_broadcast(changes):
+        met = mentions.join(F.broadcast(changes), ["kind", "raw"])
+    else:
+        met = join_many_to_one(mentions, changes, ["kind", "raw"])
+    met = stage(met.select("tag", "place", "raw", "kind", "new"), "changed")
+    lists = met.groupBy("tag").agg(
+        F.array_sort(F.collect_list(F.struct("place", "new"))).alias("_new"),
+        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("_kinds"),
+    )
+    bare = lambda c: F.trim(F.regexp_replace(c, rf"^{TITLE} ", ""))
+    words = (
+        met.filter(F.col("kind").isin("given_f", "given_m", "surname"))
+        .select("tag", "place", bare("raw").alias("word"), bare("new").alias("named"))
+        .groupBy("tag", "word")
+        .agg(F.min_by("named", "place").alias("named"))
         .groupBy("tag")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("place", "new"))).alias("_new"),
-            F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("_kinds"),
-        )
+        .agg(F.map_from_entries(F.collect_list(F.struct("word", "named"))).alias("_words"))
     )
     text = F.col("_doc.text")
-    between = F.split(text, ENTITY, -1)
+
+    def renamed(part: Column) -> Column:
+        """The text between two mentions, with the names of the text replaced in it."""
+        pieces = F.regexp_extract_all(part, F.lit(r"(?s)[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
+        written = F.array_join(F.transform(pieces, lambda w: F.coalesce(F.element_at("_words", w), w)), "")
+        named = F.exists(F.map_keys("_words"), lambda w: F.contains(part, w))
+        return F.when(named, written).otherwise(part)
+
+    between = F.transform(F.split(text, ENTITY, -1), renamed)
     rebuilt = F.array_join(
         F.flatten(
             F.zip_with(between, F.col("_new.new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))
         ),
         "",
     )
-    changed = dirty.join(lists, F.col("_tag") == F.col("tag")).select(
+    changed = dirty.join(lists.join(words, "tag", "left"), F.col("_tag") == F.col("tag")).select(
         *[rebuilt.alias("text") if c == "text" else F.col("_doc")[c].alias(c) for c in given],
         F.struct(F.size("_new").cast("bigint").alias("n_entities"), F.col("_kinds").alias("kinds")).alias("pii"),
     )

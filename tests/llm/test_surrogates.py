@@ -89,3 +89,50 @@ def test_clean_texts_stay(spark):
     texts = ["Version 1.2.3.4.5 of 2024-01-02, 10.000.000 items, 12:30, (3) a@b, 555-12", "Mr. and Mrs. went home", "x" * 5000]
     rows = replaced(spark, texts)
     assert [rows[i].text for i in range(3)] == texts
+
+
+def test_a_full_space_exchanges_its_members(spark):
+    """No number +1 dd dd is left that is not one of the corpus."""
+    numbers = [f"+1 {n // 100:02d} {n % 100:02d}" for n in range(10_000)]
+    texts = [" / ".join(numbers[i : i + 500]) for i in range(0, 10_000, 500)]
+    rows = replaced(spark, [*texts, "again " + numbers[7], "+44 12 34 alone"])
+    new = " / ".join(rows[i].text for i in range(20)).split(" / ")
+    assert len(set(new)) == 10_000 and all(re.fullmatch(r"\+1 \d\d \d\d", n) for n in new)
+    assert not [1 for old, got in zip(numbers, new, strict=True) if old == got]
+    assert rows[20].text == "again " + new[7]
+    assert re.fullmatch(r"\+44 \d\d \d\d alone", rows[21].text) and "12 34" not in rows[21].text
+
+
+def test_short_names_exchange_within_their_script(spark):
+    """256 names of two Cyrillic letters fill the space of their surrogates."""
+    letters = surrogates.CYRILLIC
+    names = [a.upper() + b for a in letters for b in letters]
+    rows = replaced(spark, [f"г-н {n} пришёл" for n in names])
+    new = [re.fullmatch(r"г-н ([А-Я][а-я]) пришёл", rows[i].text)[1] for i in range(256)]
+    assert len(set(new)) == 256 and not [1 for a, b in zip(names, new, strict=True) if a == b]
+
+
+def test_names_are_replaced_wherever_they_stand(spark):
+    texts = [
+        "Mr John Smith spoke. Later John Smith left; Smith agreed. Smithson and Johns did not, John's cat did.",
+        "John Smith without a form of address.",
+        "Mrs Smith and Mr Smith: Smith, Smith.",
+    ]
+    rows = replaced(spark, texts)
+    first = re.fullmatch(
+        r"Mr (\w+) (\w+) spoke\. Later (\w+) (\w+) left; (\w+) agreed\. Smithson and Johns did not, (\w+)'s cat did\.",
+        rows[0].text,
+    )
+    assert first[1] == first[3] == first[6] != "John" and first[2] == first[4] == first[5] != "Smith"
+    assert rows[1].text == texts[1]
+    assert rows[2].text == texts[2].replace("Smith", first[2])
+
+
+def test_the_session_holds_the_key(spark):
+    docs = simple(spark, ["mail a.b@c.org"])
+    spark.conf.set(surrogates.KEY_SETTING, "k")
+    try:
+        got = surrogates.replace_entities(docs).first().text
+    finally:
+        spark.conf.unset(surrogates.KEY_SETTING)
+    assert got == replaced(spark, ["mail a.b@c.org"], "k")[0].text != surrogates.replace_entities(docs).first().text
