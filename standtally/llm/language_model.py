@@ -10,7 +10,7 @@ word, so that probabilities of all words sum to one.
 Training goes over all training documents in every round. Each task starts from the same
 parameters and follows its own rows in numpy, telling each token from noise drawn by class
 frequency; parameters are then averaged by tokens, in two steps of bounded groups. Scores are
-normalised: for every context met, a matrix product with all classes gives the sum of weights.
+normalised: matrix products give the sum of weights over all classes for every context.
 
 Counts of words cover all training documents. Up to ``KNOWN`` frequent words of at most
 ``WORD_BYTES`` bytes go to every task; all other words are looked up by a join, so vocabulary
@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress, repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,8 @@ SLICE = 1 << 20
 GATHERED = 1 << 16
 COUNTED = 500_000
 BLOCK = 4096
+ROWS = 256
+LEAST = 1e-200
 SALTS = 32
 
 END, OTHER = 0, 1
@@ -236,28 +238,40 @@ def _train_round(docs: DataFrame, words: list[bytes], share: np.ndarray, flat: b
 
 def _class_ids(text: bytes, class_of) -> Iterator[np.ndarray]:
     """Classes of a text's tokens, some at a time; the end mark comes last."""
-    for tokens in _tokens(text):
-        yield np.fromiter(map(class_of, tokens, repeat(OTHER)), np.int64, len(tokens))
-    yield np.array([END], np.int64)
+    for tokens, last in _pieces(text):
+        ids = chain(map(class_of, tokens, repeat(OTHER)), (END,) * last)
+        yield np.fromiter(ids, np.int64, len(tokens) + last)
 
 
 class Scorer:
-    """Normalised log probabilities of classes; sums of weights are kept by context."""
+    """Normalised log probabilities of classes.
+
+    A class' weight after two tokens is a product of one factor by the token before and one
+    by the token before that. So the sums over classes of all pairs of tokens are one matrix
+    product, taken in blocks of rows.
+    """
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.sums = np.full((model.classes + 1) ** 2, np.nan, np.float32)
+        target = model.target.T.astype(np.float64)
+        near = (model.place[0] * model.context) @ target
+        far = (model.place[1] * model.context) @ target + model.bias
+        top_near, top_far = near.max(1), far.max(1)
+        factor = np.exp(far - top_far[:, None]).T
+        self.sums = np.empty((model.classes + 1, model.classes + 1), np.float32)
+        for at in range(0, len(near), ROWS):
+            few = slice(at, at + ROWS)
+            summed = np.exp(near[few] - top_near[few, None]) @ factor
+            # Where hardly a class is likely by both tokens, the weights are summed themselves.
+            apart = np.argwhere(summed < LEAST)
+            self.sums[few] = np.log(np.maximum(summed, LEAST)) + top_near[few, None] + top_far
+            for c1, c2 in apart:
+                self.sums[at + c1, c2] = np.logaddexp.reduce(near[at + c1] + far[c2])
 
     def log10(self, c1: np.ndarray, c2: np.ndarray, t: np.ndarray) -> np.ndarray:
         m = self.model
-        at = c1 * (m.classes + 1) + c2
-        new = np.unique(at[np.isnan(self.sums[at])])
-        for few in np.split(new, range(BLOCK, len(new), BLOCK)):
-            weights = m.predicted(few // (m.classes + 1), few % (m.classes + 1)) @ m.target.T + m.bias
-            top = weights.max(1) if len(few) else weights[:, 0]
-            self.sums[few] = top + np.log(np.exp(weights - top[:, None]).sum(1))
         weight = np.einsum("ij,ij->i", m.predicted(c1, c2), m.target[t]) + m.bias[t]
-        return (weight - self.sums[at]).astype(np.float64) / np.log(10)
+        return (weight - self.sums[c1, c2]).astype(np.float64) / np.log(10)
 
 
 def _sums(docs: DataFrame, shared, size: int) -> DataFrame:
@@ -266,42 +280,71 @@ def _sums(docs: DataFrame, shared, size: int) -> DataFrame:
         "part int, row bigint, doc_id bigint, n_tokens bigint, n_known bigint, n_other bigint, log_all double,"
         " log_other double, log_class double, rest array<struct<token: binary, times: bigint>>"
     )
-    kinds = [pa.int32(), *[pa.int64()] * 5, *[pa.float64()] * 3]
-    kinds.append(pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())])))
     names = ["part", "row", "doc_id", "n_tokens", "n_known", "n_other", "log_all", "log_other", "log_class", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, n_end, classes, flat = shared.value
         place_of = {w: i for i, w in enumerate(words)}.get
-        logs = np.log10(counts + 1.0)
-        class_of = np.full(len(words) + 1, OTHER, np.int64)
+        # Places of words, then one for words looked up later and one for the end mark.
+        unknown, end = len(words), len(words) + 1
+        logs = np.append(np.log10(counts + 1.0), [0, np.log10(n_end + 1.0)])
+        is_known = np.append(np.ones(len(words), bool), [False, n_end > 0])
+        class_of = np.full(len(words) + 2, OTHER, np.int64)
         class_of[: min(classes - 2, len(words))] = np.arange(2, 2 + min(classes - 2, len(words)))
+        class_of[end] = END
         scorer = Scorer(Model(classes, size, np.frombuffer(flat, np.float32)))
+
+        def add(sums: np.ndarray, held: list[tuple[int, np.ndarray]], before: tuple[int, int]) -> tuple[int, int]:
+            """Add pieces of texts to their texts' sums; the first may go on from earlier pieces."""
+            place = np.concatenate([x for _, x in held])
+            starts = np.cumsum([0] + [len(x) for _, x in held[:-1]])
+            ids = class_of[place]
+            c1, c2 = _contexts(ids, before)
+            c1[starts[1:]] = c2[starts[1:]] = classes
+            second = starts[1:] + 1
+            c2[second[second < np.append(starts[2:], len(ids))]] = classes
+            other, log = ids == OTHER, logs[place]
+            numbers = [np.ones(len(ids)), is_known[place], other, log, log * other, scorer.log10(c1, c2, ids)]
+            # A text of many pieces meets this function with one piece a call, so owners differ.
+            sums[[i for i, _ in held]] += np.stack([np.add.reduceat(x, starts, dtype=np.float64) for x in numbers], 1)
+            return c1[-1], ids[-1]
+
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                out = []
                 few = batch.slice(at, 200)
-                for doc_id, text in zip(few.column(0).to_pylist(), few.column(1), strict=True):
-                    sums, rest, before = np.zeros(6), Counter(), (classes, classes)
+                sums = np.zeros((few.num_rows, 6))
+                found, times, bounds, held, n_held = [], [], [0], [], 0
+                for i, text in enumerate(few.column(1)):
+                    rest, before = Counter(), (classes, classes)
                     for tokens, last in _pieces(text.as_py()):
-                        place = np.fromiter(map(place_of, tokens, repeat(-1)), np.int64, len(tokens))
-                        known = place >= 0
-                        words_ids = class_of[place]
-                        rest.update(compress(tokens, ~known))
-                        other = words_ids == OTHER
-                        ids = np.append(words_ids, END) if last else words_ids
-                        log_class = scorer.log10(*_contexts(ids, before), ids).sum()
-                        log_all, log_other = logs[place[known]].sum(), logs[place[known & other]].sum()
-                        sums += (len(tokens), known.sum(), other.sum(), log_all, log_other, log_class)
-                        before = tuple(np.concatenate([before, ids])[-2:])
-                    sums += (1, n_end > 0, 0, np.log10(n_end + 1.0), 0, 0)
-                    numbers = [int(x) for x in sums[:3]]
-                    pairs = [{"token": w, "times": n} for w, n in rest.items()]
-                    out.append((part, row, doc_id, *numbers, *sums[3:].tolist(), pairs))
-                    row += 1
-                columns = zip(zip(*out, strict=True), kinds, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=names)
+                        places = chain(map(place_of, tokens, repeat(unknown)), (end,) * last)
+                        place = np.fromiter(places, np.int64, len(tokens) + last)
+                        rest.update([tokens[j] for j in np.flatnonzero(place == unknown).tolist()])
+                        whole = last and before == (classes, classes)
+                        if held and (not whole or n_held >= GATHERED):
+                            add(sums, held, (classes, classes))
+                            held, n_held = [], 0
+                        if whole:
+                            held.append((i, place))
+                            n_held += len(place)
+                        else:
+                            before = add(sums, [(i, place)], before)
+                    found.extend(rest)
+                    times.extend(rest.values())
+                    bounds.append(len(found))
+                if held:
+                    add(sums, held, (classes, classes))
+                rows = np.arange(row, row + len(sums))
+                row += len(sums)
+                columns = [pa.array(np.full(len(sums), part), pa.int32()), pa.array(rows, pa.int64()), few.column(0)]
+                columns += [pa.array(c.astype(np.int64), pa.int64()) for c in sums.T[:3]]
+                columns += [pa.array(c, pa.float64()) for c in sums.T[3:]]
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array(found, pa.binary()), pa.array(times, pa.int64())], names=["token", "times"]
+                )
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return stage(docs.mapInArrow(frugal(run), schema), "sums")
 

@@ -99,3 +99,16 @@ def test_steps_follow_the_slope():
         up[i] += 1e-5
         down[i] -= 1e-5
         assert abs((likelihood(up) - likelihood(down)) / 2e-5 - slope[i]) < 1e-2
+
+
+@pytest.mark.parametrize("spread", [0.5, 60.0])
+def test_sums_of_weights_are_those_of_all_classes(spread):
+    """Also for vectors so long that no class is likely by both tokens."""
+    rng = np.random.default_rng(3)
+    model = lm.Model(40, 4)
+    model.flat[:] = rng.normal(0, spread, len(model.flat))
+    c1, c2 = (x.ravel() for x in np.meshgrid(np.arange(41), np.arange(41)))
+    weights = model.predicted(c1, c2).astype(np.float64) @ model.target.T + model.bias
+    want = np.logaddexp.reduce(weights, axis=1)
+    got = lm.Scorer(model).sums[c1, c2]
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-4)
