@@ -89,3 +89,23 @@ def test_group_texts_read_their_rows_once(spark):
 
     key = lambda r: tuple((v is None, str(v)) for v in r)
     assert sorted(got, key=key) == sorted([(*r, text(r[0], 1), text(r[0], 2)) for r in rows], key=key)
+
+
+@pytest.mark.parametrize("level_by", ["name", "position"])
+def test_plots_meet_site_means_on_one_exchange(spark, monkeypatch, level_by):
+    """Beyond the broadcast bound, taxa keep their table densities to themselves."""
+    trees, table = sample(random.Random(6))
+    trees += [(1000, None, None, None, None, None), (1001, "1_1", None, "Quercus", None, None)]
+    samples = some_samples(random.Random(6), trees)
+    _, want = densities(spark, trees, samples, table, level_by=level_by)
+    tables = wd.density_tables(spark.createDataFrame(samples, SAMPLES), spark.createDataFrame(table, TABLE))
+    codes = wd.coded_densities(spark.createDataFrame(trees, TREES), tables, strategy="shuffle", level_by=level_by)
+    assert codes.taxa is not None and not codes.small
+    assert codes.sited.filter(F.col("site_wd").isNull()).count() == 0
+    seen = spark.createDataFrame(trees, TREES).select("source_code", *wd.SITE_LEVELS.values())
+    plan = wd._add_site_grouped(seen, tables.site_levels).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    monkeypatch.setattr(wd, "fits_broadcast", lambda *a: False)
+    codes = wd.coded_densities(spark.createDataFrame(trees, TREES), tables, level_by=level_by)
+    assert codes.taxa is None
+    assert densities(spark, trees, samples, table, level_by=level_by)[1] == want
