@@ -81,3 +81,13 @@ def test_aligned_counts_without_pairs(spark):
     tables = make(["a", "a", "b", None]), make(["a", "a", "a", "c"]), make(["a", None])
     counts = {r.source_code: int(r.rows) for r in panel.aligned_counts(*tables).collect()}
     assert counts == {"a": 6, "b": 1, "c": 1, None: 2}
+
+
+def test_join_without_hot_keys_reads_each_side_once(spark):
+    many = spark.createDataFrame([(f"k{i % 2500}" if i % 2500 else None, i) for i in range(5000)], "k string, i int")
+    one = spark.createDataFrame([("k8", 3), (None, 2), ("z", 4)], "k string, v int")
+    joined = join_unique(many, one, ["k"])
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Union" not in plan
+    want = {i: {8: 3, 0: 2}.get(i % 2500) for i in range(5000)}
+    assert {r.i: r.v for r in joined.collect()} == want
