@@ -91,3 +91,12 @@ def test_join_without_hot_keys_reads_each_side_once(spark):
     assert plan.count("Join ") == 1 and "Union" not in plan
     want = {i: {8: 3, 0: 2}.get(i % 2500) for i in range(5000)}
     assert {r.i: r.v for r in joined.collect()} == want
+
+
+def test_year_steps_carry_no_whole_rows(spark):
+    rows = [("p", 2004, 1.0, 0), ("p", 2004, 2.0, 1), ("p", 2009, 4.0, 2), (None, None, None, 3)]
+    variants = spark.createDataFrame(rows, "source_code string, census_date int, agb_mgha_1 double, _row bigint")
+    steps = panel._year_steps(variants, F.struct(F.col("agb_mgha_1").alias("o0")))
+    assert not any("struct" in kind for _, kind in steps.dtypes)
+    got = {(r.source_code, r.census_date): (r._first_row, r._before, r._agb_before) for r in steps.collect()}
+    assert got == {("p", 2004): (0, None, None), ("p", 2009): (2, 2004, 2.0), (None, None): (3, None, None)}
