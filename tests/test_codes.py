@@ -109,3 +109,12 @@ def test_plots_meet_site_means_on_one_exchange(spark, monkeypatch, level_by):
     codes = wd.coded_densities(spark.createDataFrame(trees, TREES), tables, level_by=level_by)
     assert codes.taxa is None
     assert densities(spark, trees, samples, table, level_by=level_by)[1] == want
+
+
+def test_packed_codes_beyond_the_bound_are_not_broadcast(spark):
+    rows = spark.range(20).select(F.col("id").cast("string").alias("full_species"))
+    codes = wd.stage(wd.coded(rows.withColumn("v", F.lit(1)), {"full_species": "full_species"}, ["v"]), "codes")
+    found = wd.probe(rows, codes, False)
+    assert found.count() == 20 and found.filter("v = 1").count() == 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
