@@ -136,3 +136,18 @@ def test_the_session_holds_the_key(spark):
     finally:
         spark.conf.unset(surrogates.KEY_SETTING)
     assert got == replaced(spark, ["mail a.b@c.org"], "k")[0].text != surrogates.replace_entities(docs).first().text
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """The driver plans each draw anew: what branches share stands in the plan once."""
+    sizes = []
+    real = surrogates.stage
+
+    def measured(df, name):
+        sizes.append((len(df._jdf.queryExecution().analyzed().toString()), name))
+        return real(df, name)
+
+    monkeypatch.setattr(surrogates, "stage", measured)
+    rows = replaced(spark, [TEXT["mail"], TEXT["names"]])
+    assert len(rows) == 2 and {n for _, n in sizes} >= {"mentions", "surrogates", "changes"}
+    assert max(sizes)[0] < 40_000, max(sizes)
