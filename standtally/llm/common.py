@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Runs of anything but ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
+# Bytes of a batch that goes to Python.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,22 @@ def join_many_to_one(many: DataFrame, one: DataFrame, keys: list[str], how: str
     ).drop("_hot")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Jobs run inside send Python batches of about ``size`` bytes at most, or of one row.
+
+    Without it a batch has 10,000 rows, however long: tens of MB of texts, of which the JVM
+    holds a column and a stream and Python another copy, for every task at once.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def give_back_memory() -> None:
     """Return what this Python process no longer uses: workers outlive the stages they served."""
     gc.collect()

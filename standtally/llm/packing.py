@@ -19,6 +19,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from standtally.llm.common import frugal
+from standtally.llm.common import frugal, small_batches
 from standtally.sources.staging import stage
 
 CAPACITY = 1024
 END_ID = 2
-# Words whose ids a Python worker remembers.
-REMEMBERED = 100_000
+# Words beyond the Latin blocks whose ids a Python worker remembers.
+REMEMBERED = 20_000
 # Runs of white space beyond this go to ``tokenizers``, as the faster merger recurses on them.
-LONG_BLANK = re.compile(r"\s{5000}")
+LONG_RUN = 5000
+LONG_BLANK = re.compile(rf"\s{{{LONG_RUN}}}")
+# Beyond the Latin blocks the two libraries' Unicode tables may differ in age.
+BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
+# No token crosses the place before a blank that stands before a word.
+WORD_START = re.compile(r"(?= [^\s\u180e])")
 # Fixed value: how byte-level BPE cuts a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -47,11 +53,11 @@ PIECES = (
 class Encoder:
     """Token ids as little-endian unsigned 32-bit numbers, equal to those of ``tokenizers``.
 
-    A byte-level BPE never merges across a single blank between two words, so the ids of a
-    text are those of its words, each with the blank before it. Words come back often, and
-    their ids are remembered. Texts with other white space beside a blank, and texts that
-    hold special tokens, are encoded whole, and by ``tokenizers`` itself where a run of white
-    space is very long.
+    Texts in Latin letters go whole to a faster merger of the same vocabulary. Others are cut
+    before the blank that starts a word, which no token crosses: runs of Latin words go to the
+    faster merger too, and the words left to ``tokenizers``, as do very long runs of white
+    space. These words' ids are remembered. ``tokenizers`` also gets texts that hold special
+    tokens, and all texts under other kinds of vocabulary.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,9 +66,6 @@ class Encoder:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = self._merge_table(spec)
-        self.by_blank = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not (
-            spec["pre_tokenizer"].get("add_prefix_space")
-        )
         self.seen: dict[str, bytes] = {}
 
     @cached_property
@@ -78,7 +81,7 @@ class Encoder:
         model = spec.get("model", {})
         if model.get("type") != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
             return None
-        if spec.get("normalizer"):
+        if spec.get("normalizer") or spec["pre_tokenizer"].get("add_prefix_space"):
             return None
         import tiktoken
 
@@ -96,32 +99,41 @@ class Encoder:
         }
         return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode_whole(self, text: str) -> bytes:
-        # Beyond the Latin blocks the two libraries' Unicode tables may differ in age.
-        plain = text.isascii() or max(text) < "ɐ"
-        if self.fast and plain and not any(s in text for s in self.special) and not LONG_BLANK.search(text):
-            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+    def _merged(self, text: str) -> bytes:
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+    def _encode_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        ids = self.encode_whole(word)
-        if len(self.seen) < REMEMBERED and len(word) < 64:
-            self.seen[word] = ids
+        ids = self.seen.get(word)
+        if ids is None:
+            ids = self._encode_whole(word)
+            if len(self.seen) < REMEMBERED and len(word) < 64:
+                self.seen[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        if not self.by_blank or _BESIDE.search(text) or any(s in text for s in self.special):
-            return self.encode_whole(text)
-        first, *rest = text.split(" ")
-        seen, word = self.seen, self._word
-        out = [self.encode_whole(first)]
-        for w in rest:
-            ids = seen.get(" " + w)
-            out.append(word(" " + w) if ids is None else ids)
+        if not self.fast or any(s in text for s in self.special):
+            return self._encode_whole(text)
+        if not _is_apart(text):
+            return self._merged(text)
+        out = []
+        for apart, words in groupby(WORD_START.split(text), _is_apart):
+            if apart:
+                out.extend(map(self._word, words))
+            else:
+                out.append(self._merged("".join(words)))
         return b"".join(out)
 
 
-_BESIDE = re.compile(r" \s|\s ")
+def _is_apart(text: str) -> bool:
+    """Whether only ``tokenizers`` reads it right."""
+    if not text.isascii() and BEYOND_LATIN.search(text):
+        return True
+    return len(text) >= LONG_RUN and LONG_BLANK.search(text) is not None
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -179,7 +191,9 @@ def tokenize_pieces(
                 )
 
     read = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    return stage(read.mapInArrow(frugal(run), PIECES), "pieces")
+    # Executors hold several copies of each batch that goes to Python, outside the heap.
+    with small_batches(docs.sparkSession):
+        return stage(read.mapInArrow(frugal(run), PIECES), "pieces")
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:

@@ -2,9 +2,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from standtally.llm import packing
+from standtally.llm.common import BATCH_BYTES, small_batches
 from tests.llm.cases import documents, odd_documents
 
 P = pytest.importorskip("public_tokenizers")
@@ -89,3 +91,44 @@ def test_very_long_runs_of_white_space(blank):
     ids, encode = plain_ids(), packing.encoder(PATH).encode
     for text in (blank * 2_000_000, "a" + blank * 2_000_000 + "b c"):
         assert np.frombuffer(encode(text), "<u4").tolist() == ids(text)
+
+
+def test_latin_texts_go_whole_to_the_merger(monkeypatch):
+    ids, encoder = plain_ids(), packing.Encoder(PATH)
+    calls = []
+    merged = packing.Encoder._merged
+    monkeypatch.setattr(packing.Encoder, "_merged", lambda self, text: calls.append(text) or merged(self, text))
+    rng = random.Random(4)
+    latin = " ".join(f"{rng.randrange(10**9):x}é" for _ in range(2000))
+    assert np.frombuffer(encoder.encode(latin), "<u4").tolist() == ids(latin)
+    assert calls == [latin] and not encoder.seen
+    mixed = f"{latin} Ж 日本  {latin}"
+    assert np.frombuffer(encoder.encode(mixed), "<u4").tolist() == ids(mixed)
+    assert len(calls) == 3 and len(encoder.seen) == 2
+
+
+def test_cuts_at_words_cross_no_token():
+    ids, encode = plain_ids(), packing.encoder(PATH).encode
+    rng = random.Random(8)
+    marks = [" ", " ", "  ", "\n ", " \n", "\xa0", "\x1c", "\u180e", "\u2003", "'s", " 's", "a", "é", "ɏ", "ɐ", "Ж", "\u0301", "…", "7", "#"]
+    for _ in range(3000):
+        text = "".join(rng.choices(marks, k=rng.randrange(1, 25)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == ids(text), repr(text)
+
+
+def test_python_gets_small_batches(spark, monkeypatch):
+    """A batch of 10,000 rows is held several times outside an executor's heap."""
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    usual = spark.conf.get(key)
+    monkeypatch.setattr(packing, "stage", lambda df, name: seen.append(spark.conf.get(key)) or df)
+    packing.tokenize_pieces(documents(spark), PATH)
+    assert seen == [str(BATCH_BYTES)] and spark.conf.get(key) == usual
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    rows = spark.range(9000, numPartitions=1).selectExpr("repeat('x', 3000) text")
+    with small_batches(spark):
+        got = [r.n for r in rows.mapInArrow(sizes, "n bigint").collect()]
+    assert len(got) > 10 and max(got) < 2 * BATCH_BYTES
