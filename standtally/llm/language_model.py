@@ -25,10 +25,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +45,7 @@ RATE = 0.1
 KNOWN = 200_000
 WORD_BYTES = 64
 SLICE = 1 << 20
+TOGETHER = 4 << 20
 GATHERED = 1 << 16
 COUNTED = 500_000
 BLOCK = 4096
@@ -61,51 +62,84 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _tokens(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, some at a time. Bytes split and fold case as ASCII does."""
+def _pieces(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array, np.ndarray, bool, bool]]:
+    """(first row, words, words a text, whether texts begin, whether texts end in this piece).
+
+    A piece holds texts of ``most`` bytes together, or a slice of a longer text. Arrow splits
+    and folds case as ASCII does; texts are not looked at beyond bytes.
+    """
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
-    while at < len(text):
-        cut = at + SLICE
-        if cut < len(text):
-            found = _SPACE.search(text, cut)
-            cut = found.start() if found else len(text)
-        yield text[at:cut].lower().split()
-        at = cut
-
-
-def _pieces(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
-    """As ``_tokens``, each with whether it is the last; a text has one at least."""
-    held: list[bytes] = []
-    for tokens in _tokens(text):
-        if held:
-            yield held, False
-        held = tokens
-    yield held, True
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        if ends[to - 1] - before <= max(most, SLICE):
+            yield at, *_words(texts.slice(at, to - at)), True, True
+        else:
+            text = texts[at].as_py()
+            first = 0
+            while first < len(text):
+                cut = first + SLICE
+                if cut < len(text):
+                    found = _SPACE.search(text, cut)
+                    cut = found.start() if found else len(text)
+                cut = min(cut, len(text))
+                yield at, *_words(pa.array([text[first:cut]], pa.binary())), first == 0, cut == len(text)
+                first = cut
+        at = to
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts, lower-cased in A-Z, and their number a text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, bounds = lists.values, lists.offsets.to_numpy()
+    # White space at either end of a text leaves an empty word there.
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    before = np.concatenate([[0], np.cumsum(full)])
+    return words.filter(pa.array(full)).view(pa.binary()), np.diff(before[bounds])
+
+
+def _places(words: pa.Array, counts: np.ndarray, ends: bool, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words in ``known``, then one for other words and one for end marks, and texts' bounds."""
+    found = pc.index_in(words, value_set=known).fill_null(len(known)).to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(counts + ends)])
+    if not ends:
+        return found.astype(np.int64), bounds
+    places = np.full(bounds[-1], len(known) + 1, np.int64)
+    inner = np.ones(len(places), bool)
+    inner[bounds[1:] - 1] = False
+    places[inner] = found
+    return places, bounds
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over all words of (doc_id, text)."""
 
-    def batch_of(counted: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counted), pa.binary()), pa.array(list(counted.values()), pa.int64())], names=["token", "n"]
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: Counter = Counter()
+        held, n_held = [], 0
         for batch in batches:
-            for text in batch.column(1):
-                for tokens in _tokens(text.as_py()):
-                    counted.update(tokens)
-                    if len(counted) > COUNTED:
-                        yield batch_of(counted)
-                        counted = Counter()
-        if counted:
-            yield batch_of(counted)
+            for _, words, *_ in _pieces(batch.column(1)):
+                counted = pc.value_counts(words)
+                held.append(pa.table({"token": counted.field("values"), "n": counted.field("counts")}))
+                n_held += len(counted)
+                if n_held > COUNTED:
+                    summed = _summed(held)
+                    held, n_held = [summed], summed.num_rows
+                    if n_held > COUNTED // 2:
+                        yield from summed.to_batches()
+                        held, n_held = [], 0
+        if held:
+            yield from _summed(held).to_batches()
 
     return docs.mapInArrow(frugal(run), "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def _summed(counts: list[pa.Table]) -> pa.Table:
+    """(token, n) with each token once."""
+    summed = pa.concat_tables(counts).group_by("token", use_threads=False).aggregate([("n", "sum")])
+    return summed.select(["token", "n_sum"]).rename_columns(["token", "n"]).combine_chunks()
+
+
 class Model:
     """Parameters in one flat vector, with views on its parts."""
 
@@ -133,7 +167,11 @@ class Model:
 
 
 class Trainer:
-    """Steps of noise-contrastive estimation with per-parameter rates."""
+    """Steps of noise-contrastive estimation with per-parameter rates.
+
+    Steps write their large intermediate results into the same arrays each time, as fresh
+    memory for them costs more than the arithmetic.
+    """
 
     def __init__(self, model: Model, share: np.ndarray, seed: int) -> None:
         self.model, self.rng = model, np.random.default_rng(seed)
@@ -141,45 +179,70 @@ class Trainer:
         self.offset = np.log(NOISE * share).astype(np.float32)
         self.squares = np.full(len(model.flat), 1.0, np.float32)
         self.slope = Model(model.classes, model.size)
+        # Where a row's values are in a flat table.
+        self.places = np.arange((model.classes + 1) * model.size).reshape(-1, model.size)
+        rows = np.empty((6, MINIBATCH, model.size), np.float32)
+        self.rows, self.false = rows, np.empty((MINIBATCH, NOISE), np.float32)
+        self.change, self.root = np.empty_like(model.flat), np.empty_like(model.flat)
 
     def step(self, c1: np.ndarray, c2: np.ndarray, t: np.ndarray) -> None:
-        m, g = self.model, self.slope
+        m, g, n = self.model, self.slope, len(t)
+        r1, r2, own, predicted, back, spare = self.rows[:, :n]
         noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), m.classes - 1)
-        r1, r2 = m.context[c1], m.context[c2]
-        predicted = m.place[0] * r1 + m.place[1] * r2
-        true = np.einsum("ij,ij->i", predicted, m.target[t]) + m.bias[t] - self.offset[t]
-        false = predicted @ m.target[noise].T + (m.bias[noise] - self.offset[noise])
+        # Indices are in range; "clip" lets numpy write into ``out`` directly.
+        np.take(m.context, c1, 0, r1, "clip")
+        np.take(m.context, c2, 0, r2, "clip")
+        np.take(m.target, t, 0, own, "clip")
+        others = m.target[noise]
+        np.multiply(m.place[0], r1, predicted)
+        predicted += np.multiply(m.place[1], r2, spare)
+        true = np.einsum("ij,ij->i", predicted, own) + m.bias[t] - self.offset[t]
+        false = np.matmul(predicted, others.T, out=self.false[:n])
+        false += m.bias[noise] - self.offset[noise]
         # Slopes of the log likelihood that true tokens are told from noise.
-        up = _sigmoid(-true)
-        down = -_sigmoid(false)
-        back = up[:, None] * m.target[t] + down @ m.target[noise]
-        g.flat[:] = 0
-        _add_rows(g.target, t, up[:, None] * predicted)
-        _add_rows(g.target, noise, down.T @ predicted)
-        g.bias += np.bincount(t, up, m.classes) + np.bincount(noise, down.sum(0), m.classes)
-        _add_rows(g.context, c1, back * m.place[0])
-        _add_rows(g.context, c2, back * m.place[1])
+        up = _sigmoid(-true, true)[:, None]
+        down = _sigmoid(false, false)
+        np.negative(down, down)
+        np.matmul(down, others, out=back)
+        back += np.multiply(up, own, spare)
+        g.target[:] = self._by_row(t, np.multiply(up, predicted, spare), m.classes)
+        drawn = np.unique(noise)
+        g.target[drawn] += self._by_row(noise, down.T @ predicted, m.classes)[drawn]
+        g.bias[:] = np.bincount(t, up[:, 0], m.classes) + np.bincount(noise, down.sum(0), m.classes)
+        g.context[:] = self._by_row(c1, np.multiply(back, m.place[0], spare), m.classes + 1)
+        g.context += self._by_row(c2, np.multiply(back, m.place[1], spare), m.classes + 1)
         g.place[0] = np.einsum("ij,ij->j", back, r1)
         g.place[1] = np.einsum("ij,ij->j", back, r2)
-        self.squares += g.flat * g.flat
-        m.flat += RATE * g.flat / np.sqrt(self.squares)
+        self.squares += np.multiply(g.flat, g.flat, self.root)
+        np.multiply(RATE, g.flat, self.change)
+        self.change /= np.sqrt(self.squares, self.root)
+        m.flat += self.change
 
+    def _by_row(self, rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        """The sum of the values of each of ``n`` rows."""
+        at = self.places.take(rows, 0)
+        return np.bincount(at.ravel(), values.ravel(), n * values.shape[1]).reshape(n, -1)
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
+def _sigmoid(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    np.clip(x, -30, 30, out=out)
+    np.negative(out, out)
+    np.exp(out, out)
+    out += 1
+    return np.divide(1, out, out)
 
-def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Add each row of values to the named row of a table."""
-    width = table.shape[1]
-    at = (rows[:, None] * width + np.arange(width)).ravel()
-    table += np.bincount(at, values.ravel(), table.size).reshape(table.shape)
 
+def _contexts(ids: np.ndarray, before: tuple[int, int], bounds: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last and the last but one class before each token of some texts.
 
-def _contexts(ids: np.ndarray, before: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The last and the last but one class before each token; ``before`` precede them all."""
+    ``before`` precede the first text, and ``start`` any other.
+    """
     both = np.concatenate([np.array(before, ids.dtype), ids])
-    return both[1:-1], both[:-2]
+    c1, c2 = both[1:-1].copy(), both[:-2].copy()
+    starts, ends = bounds[1:-1], bounds[2:]
+    c1[starts] = c2[starts] = start
+    c2[(starts + 1)[starts + 1 < ends]] = start
+    return c1, c2
 
 
 def _train_round(docs: DataFrame, words: list[bytes], share: np.ndarray, flat: bytes, size: int, turn: int) -> bytes:
@@ -188,7 +251,8 @@ def _train_round(docs: DataFrame, words: list[bytes], share: np.ndarray, flat: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, share, flat = shared.value
-        class_of = {w: i + 2 for i, w in enumerate(words)}.get
+        known = pa.array(words, pa.binary())
+        class_of = np.append(np.arange(2, len(words) + 2), [OTHER, END])
         model = Model(len(share), size, np.frombuffer(flat, np.float32))
         trainer = Trainer(model, share, 1000 * turn + TaskContext.get().partitionId())
         start, seen, held, n_held = len(share), 0, [], 0
@@ -198,13 +262,21 @@ def _train_round(docs: DataFrame, words: list[bytes], share: np.ndarray, flat: b
             for at in range(0, len(t), MINIBATCH):
                 trainer.step(c1[at : at + MINIBATCH], c2[at : at + MINIBATCH], t[at : at + MINIBATCH])
 
+        before = (start, start)
         for batch in batches:
-            for text in batch.column(1):
-                before = (start, start)
-                for ids in _class_ids(text.as_py(), class_of):
-                    held.append((*_contexts(ids, before), ids))
-                    n_held += len(ids)
-                    before = tuple(np.concatenate([before, ids])[-2:])
+            for _, words, counts, begins, ends in _pieces(batch.column(1)):
+                places, bounds = _places(words, counts, ends, known)
+                ids = class_of[places]
+                both = _contexts(ids, (start, start) if begins else before, bounds, start)
+                before = tuple(np.concatenate([before, ids])[-2:])
+                at = 0
+                while at < len(ids):
+                    # Gathered tokens are learnt from where a text ends.
+                    enough = bounds[np.searchsorted(bounds, at + GATHERED - n_held) :]
+                    to = int(enough[0]) if len(enough) else len(ids)
+                    held.append((both[0][at:to], both[1][at:to], ids[at:to]))
+                    n_held += to - at
+                    at = to
                     if n_held >= GATHERED:
                         learn()
                         seen, held, n_held = seen + n_held, [], 0
@@ -236,13 +308,6 @@ def _train_round(docs: DataFrame, words: list[bytes], share: np.ndarray, flat: b
     return b"".join(np.frombuffer(r["mean"]).astype(np.float32).tobytes() for r in rows)
 
 
-def _class_ids(text: bytes, class_of) -> Iterator[np.ndarray]:
-    """Classes of a text's tokens, some at a time; the end mark comes last."""
-    for tokens, last in _pieces(text):
-        ids = chain(map(class_of, tokens, repeat(OTHER)), (END,) * last)
-        yield np.fromiter(ids, np.int64, len(tokens) + last)
-
-
 class Scorer:
     """Normalised log probabilities of classes.
 
@@ -269,9 +334,13 @@ class Scorer:
                 self.sums[at + c1, c2] = np.logaddexp.reduce(near[at + c1] + far[c2])
 
     def log10(self, c1: np.ndarray, c2: np.ndarray, t: np.ndarray) -> np.ndarray:
-        m = self.model
-        weight = np.einsum("ij,ij->i", m.predicted(c1, c2), m.target[t]) + m.bias[t]
-        return (weight - self.sums[c1, c2]).astype(np.float64) / np.log(10)
+        m, logs = self.model, np.empty(len(t))
+        for at in range(0, len(t), GATHERED):
+            few = slice(at, at + GATHERED)
+            a, b, own = c1[few], c2[few], t[few]
+            weight = np.einsum("ij,ij->i", m.predicted(a, b), m.target[own]) + m.bias[own]
+            logs[few] = weight - self.sums[a, b]
+        return logs / np.log(10)
 
 
 def _sums(docs: DataFrame, shared, size: int) -> DataFrame:
@@ -284,7 +353,7 @@ def _sums(docs: DataFrame, shared, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, n_end, classes, flat = shared.value
-        place_of = {w: i for i, w in enumerate(words)}.get
+        known = pa.array(words, pa.binary())
         # Places of words, then one for words looked up later and one for the end mark.
         unknown, end = len(words), len(words) + 1
         logs = np.append(np.log10(counts + 1.0), [0, np.log10(n_end + 1.0)])
@@ -294,47 +363,35 @@ def _sums(docs: DataFrame, shared, size: int) -> DataFrame:
         class_of[end] = END
         scorer = Scorer(Model(classes, size, np.frombuffer(flat, np.float32)))
 
-        def add(sums: np.ndarray, held: list[tuple[int, np.ndarray]], before: tuple[int, int]) -> tuple[int, int]:
-            """Add pieces of texts to their texts' sums; the first may go on from earlier pieces."""
-            place = np.concatenate([x for _, x in held])
-            starts = np.cumsum([0] + [len(x) for _, x in held[:-1]])
-            ids = class_of[place]
-            c1, c2 = _contexts(ids, before)
-            c1[starts[1:]] = c2[starts[1:]] = classes
-            second = starts[1:] + 1
-            c2[second[second < np.append(starts[2:], len(ids))]] = classes
-            other, log = ids == OTHER, logs[place]
-            numbers = [np.ones(len(ids)), is_known[place], other, log, log * other, scorer.log10(c1, c2, ids)]
-            # A text of many pieces meets this function with one piece a call, so owners differ.
-            sums[[i for i, _ in held]] += np.stack([np.add.reduceat(x, starts, dtype=np.float64) for x in numbers], 1)
-            return c1[-1], ids[-1]
-
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                few = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 1000):
+                few = batch.slice(at, 1000)
                 sums = np.zeros((few.num_rows, 6))
-                found, times, bounds, held, n_held = [], [], [0], [], 0
-                for i, text in enumerate(few.column(1)):
-                    rest, before = Counter(), (classes, classes)
-                    for tokens, last in _pieces(text.as_py()):
-                        places = chain(map(place_of, tokens, repeat(unknown)), (end,) * last)
-                        place = np.fromiter(places, np.int64, len(tokens) + last)
-                        rest.update([tokens[j] for j in np.flatnonzero(place == unknown).tolist()])
-                        whole = last and before == (classes, classes)
-                        if held and (not whole or n_held >= GATHERED):
-                            add(sums, held, (classes, classes))
-                            held, n_held = [], 0
-                        if whole:
-                            held.append((i, place))
-                            n_held += len(place)
-                        else:
-                            before = add(sums, [(i, place)], before)
-                    found.extend(rest)
-                    times.extend(rest.values())
-                    bounds.append(len(found))
-                if held:
-                    add(sums, held, (classes, classes))
+                rest = [Counter() for _ in range(few.num_rows)]
+                before = (classes, classes)
+                for first, words, counts, begins, ends in _pieces(few.column(1), TOGETHER):
+                    place, limits = _places(words, counts, ends, known)
+                    if not len(place):
+                        continue
+                    ids = class_of[place]
+                    c1, c2 = _contexts(ids, (classes, classes) if begins else before, limits, classes)
+                    before = tuple(np.concatenate([before, ids])[-2:])
+                    other, log = ids == OTHER, logs[place]
+                    numbers = [np.ones(len(ids)), is_known[place], other, log, log * other, scorer.log10(c1, c2, ids)]
+                    # Texts that end have one token at least; others come alone in their piece.
+                    sums[first : first + len(counts)] += np.stack(
+                        [np.add.reduceat(x, limits[:-1], dtype=np.float64) for x in numbers], 1
+                    )
+                    apart = np.flatnonzero(place == unknown)
+                    owners = np.searchsorted(limits, apart, "right") - 1
+                    # Without the end marks of the texts before, places number the words.
+                    tokens = words.take(pa.array(apart - owners * ends)).to_pylist()
+                    for i, token in zip((first + owners).tolist(), tokens, strict=True):
+                        rest[i][token] += 1
+                found = [token for c in rest for token in c]
+                times = [n for c in rest for n in c.values()]
+                bounds = np.cumsum([0] + [len(c) for c in rest])
                 rows = np.arange(row, row + len(sums))
                 row += len(sums)
                 columns = [pa.array(np.full(len(sums), part), pa.int32()), pa.array(rows, pa.int64()), few.column(0)]

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from standtally.llm import language_model as lm
@@ -112,3 +113,25 @@ def test_sums_of_weights_are_those_of_all_classes(spread):
     want = np.logaddexp.reduce(weights, axis=1)
     got = lm.Scorer(model).sums[c1, c2]
     assert np.allclose(got, want, rtol=1e-5, atol=1e-4)
+
+
+def test_scores_do_not_depend_on_neighbours(spark):
+    """The end mark of a text follows the text's own last words, whatever text comes next."""
+    texts = ["a b c a b c a b"] * 40 + ["c b a", ""] * 3 + ["a b c a b c a b"]
+    found = lm.score_documents(simple(spark, texts).coalesce(1), rounds=4).collect()
+    assert len({round(r.score, 9) for r in found if r.n_tokens == 9}) == 1
+
+
+def test_pieces_hold_the_words_of_texts(monkeypatch):
+    """Blank, long and odd texts, with slices and groups of few bytes."""
+    monkeypatch.setattr(lm, "SLICE", 50)
+    texts = [(r[1] or "").encode() for r in odd_documents()] + [b" \x1c A\x85 \xff \x0b", b" ", b"x" * 200, b"y " * 100]
+    for most in (1, 60, 4000):
+        found, open_text = [[] for _ in texts], False
+        for first, words, counts, begins, ends in lm._pieces(pa.array(texts, pa.binary()), most):
+            assert begins != open_text and len(words) == sum(counts)
+            open_text, at = not ends, 0
+            for i, n in enumerate(counts):
+                found[first + i] += words[at : at + n].to_pylist()
+                at += n
+        assert found == [t.lower().split() for t in texts] and not open_text
